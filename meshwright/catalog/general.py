@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..functions.ids import id_or_empty, norm_id, trimmed
-from ..operators import copies, hierarchy, orphans, snapshots
+from ..operators import copies, hierarchy, orphans, snapshots, spatial
 from ..plans.records import first_deliveries, month_of
 from .tables import read
 
@@ -255,7 +256,64 @@ leaf as (
 """
 
 
-QUERIES = {"p1_found": p1_found, "p1_monthly": p1_monthly, "p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p3_found": p3_found, "p3_summary": p3_summary, "p4_found": p4_found, "p4_summary": p4_summary}
+def _valid(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    rows = read(spark, d, "source_geometries").filter("valid").filter(F.lower(trimmed("geometry_type")) == kind)
+    return rows.select(id_or_empty("dataset_version_id").alias("scope"), norm_id("source_geometry_id").alias("id"), norm_id("source_feature_id").alias("owner"), "coordinates", "geometry")
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    place = F.when(geo.has_coordinates("coordinates"), geo.point_from_json("coordinates")).otherwise(geo.point_from_wkt("geometry"))
+    return _valid(spark, d, "point").select("scope", "id", "owner", place.alias("p")).select("scope", "id", "owner", "p.lon", "p.lat")
+
+
+def _regions(spark: SparkSession, d: str) -> DataFrame:
+    rings = F.when(geo.has_coordinates("coordinates"), geo.rings_from_json("coordinates")).otherwise(geo.rings_from_wkt("geometry"))
+    return _valid(spark, d, "polygon").select("scope", "id", rings.alias("rings"))
+
+
+#: Metres within which two points are near.
+NEAR_METRES = 3.0
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    blocks = spatial.build_blocks(_points(spark, d))
+    near = spatial.near_pairs(blocks, NEAR_METRES).withColumn("kind", F.lit("near"))
+    within = spatial.containing(blocks, _regions(spark, d)).withColumn("kind", F.lit("inside"))
+    return near.unionByName(within).select("kind", F.col("first_id").alias("first_geometry_id"), F.col("second_id").alias("second_geometry_id"))
+
+
+_P5_BODY = rf"""
+with g as (
+  select coalesce({sql_id('dataset_version_id')}, '') as dv, {sql_id('source_geometry_id')} as id, min({sql_id('source_feature_id')}) as owner, lower(geometry_type) as kind, min(geometry) as wkt,
+    min(case when regexp_replace({sql_text('coordinates')}, '\s', '', 'g') in ('', '[]') then null else regexp_replace(coordinates, '[\s"]', '', 'g') end) as js
+  from source_geometries where valid group by 1, 2, 4
+), body as (
+  select dv, id, owner, kind, case when js is not null then js
+    else regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(wkt), '^[^(]*', ''), '\s*,\s*', ',', 'g'), '\(\s*', '[', 'g'), '\s*\)', ']', 'g'), '([^\s,\[\]]+)\s+([^\s,\[\]]+)(\s+[^,\[\]]+)?', '[\1,\2]', 'g'), '^\[\[([^\[\]]*)\]\]$', '[\1]') end as js
+  from g
+), points as (
+  select dv, id, owner, try_cast(string_split(regexp_replace(js, '[\[\]]', '', 'g'), ',')[1] as double) as lon, try_cast(string_split(regexp_replace(js, '[\[\]]', '', 'g'), ',')[2] as double) as lat
+  from body where kind = 'point'
+), placed as (select * from points where isfinite(lon) and isfinite(lat)
+), rings as (
+  select dv, id, unnest(string_split(regexp_replace(regexp_replace(js, '^\[\[\[', ''), '\]\]\]$', ''), ']],[[')) as ring, row_number() over () as k from body where kind = 'polygon' and js is not null
+), corners as (
+  select dv, id, k, ring, string_split(ring, '],[') as c from rings
+), edges as (
+  select dv, id, string_split(c[i], ',') as a, string_split(c[i % len(c) + 1], ',') as b from (select *, unnest(range(1, len(c) + 1)) as i from corners where len(c) >= 3)
+), e as (
+  select dv, id, try_cast(a[1] as double) as x1, try_cast(a[2] as double) as y1, try_cast(b[1] as double) as x2, try_cast(b[2] as double) as y2 from edges
+), box as (select dv, id, min(x1) as lx, max(x1) as hx, min(y1) as ly, max(y1) as hy from e group by all
+), inside as (
+  select p.id as pid, e.id as gid from box join placed p on p.dv = box.dv and p.lon between lx and hx and p.lat between ly and hy join e on e.dv = box.dv and e.id = box.id
+  group by 1, 2 having count(*) filter ((y1 > p.lat) <> (y2 > p.lat) and p.lon < (x2 - x1) * (p.lat - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1
+), near as (
+  select a.id as one, b.id as two from placed a join placed b on a.dv = b.dv and a.owner is distinct from b.owner and a.id < b.id and b.lat between a.lat - 0.0001 and a.lat + 0.0001
+  where 2 * 6371008.8 * asin(least(1, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 3
+)
+"""
+
+QUERIES = {"p1_found": p1_found, "p1_monthly": p1_monthly, "p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p3_found": p3_found, "p3_summary": p3_summary, "p4_found": p4_found, "p4_summary": p4_summary, "p5_found": p5_found}
 SQL = {
     "p1_found": _P1_BODY + "select table_name, field_name, dv as dataset_version_id, record_id, strftime(created_at, '%Y-%m') as period_month from judged where orphan",
     "p1_monthly": _P1_BODY + "select table_name, field_name, strftime(created_at, '%Y-%m') as period_month, count(*) as n_references, count(*) filter (orphan) as n_orphans from judged group by all",
@@ -266,4 +324,5 @@ SQL = {
     "p3_summary": _P3_BODY + "select dataset_id, snapshot_id, case when before_ref = '' then 'added' when after_ref = '' then 'removed' else 'changed' end as change_type, field_name, count(*) as n_assets from p3 group by all",
     "p4_found": _P4_BODY + "select * from p4",
     "p4_summary": _P4_BODY + "select table_name, difference, field_name, count(*) as n_records from p4 group by all",
+    "p5_found": _P5_BODY + "select 'near' as kind, one as first_geometry_id, two as second_geometry_id from near union all select 'inside', least(pid, gid), greatest(pid, gid) from inside",
 }
