@@ -9,9 +9,10 @@ equals; a pair is merged while its size and the overlap fit. Each piece is then
 given the last ``overlap`` tokens before it.
 
 Boundaries are places where both a token of the whole text and a character
-end, so pieces share exactly the overlap unless such a place is missing, then a
-little more. A piece is a text of its own: it is encoded again, and if that
-makes more tokens than the limit, it is cut in two at its strongest boundary.
+end. Pieces and overlaps count as texts of their own, as the same characters can
+make another number of tokens inside the whole: the overlap starts where what
+is shared has just the tokens asked for, or as few more as the places allow,
+and a piece that has too many is cut in two at its strongest boundary.
 
 Where: texts are cut where they lie, no shuffle; the time for a text grows with
 its length times the logarithm. The limits are a broadcast table.
@@ -135,6 +136,21 @@ def agglomerate(places: Places, bounds: list[int], limit: int, overlap: int) ->
     return [b for k, b in enumerate(bounds[:-1]) if not gone[k]] + [bounds[-1]]
 
 
+def _overlapped(text: str, encoding: tiktoken.Encoding, places: Places, a: int, overlap: int) -> int:
+    """The place where the piece with core from ``a`` starts: the text between has ``overlap`` tokens as a text of its own, or as few more as can be."""
+    if not a or not overlap:
+        return a
+    char = places.char
+    shared = lambda k: len(encoding.encode_ordinary(text[char[k] : char[a]]))
+    start = max(0, int(np.searchsorted(places.token, places.token[a] - overlap, side="right")) - 1)
+    while start and shared(start) < overlap:
+        start -= 1
+    n = shared(start)
+    while n > overlap and start + 1 < a and (less := shared(start + 1)) >= overlap:
+        start, n = start + 1, less
+    return start
+
+
 def split(text: str, encoding: tiktoken.Encoding, limit: int, overlap: int, places: Places | None = None) -> list[tuple[int, int, int, int]]:
     """(start, end, tokens, core) of each piece, in characters; ``core`` is where the text not seen before begins. None if the text fits."""
     if not 0 <= overlap < limit:
@@ -147,8 +163,7 @@ def split(text: str, encoding: tiktoken.Encoding, limit: int, overlap: int, plac
     waiting, out = [(a, b) for a, b in zip(bounds, bounds[1:])][::-1], []
     while waiting:
         a, b = waiting.pop()
-        start = a if not a else int(np.searchsorted(token, token[a] - overlap, side="right")) - 1
-        start = max(0, start)
+        start = _overlapped(text, encoding, places, a, overlap)
         n = len(encoding.encode_ordinary(text[char[start] : char[b]]))
         if n > limit and b - a > 1:
             inner = places.strength[a + 1 : b]
