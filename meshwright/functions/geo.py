@@ -77,3 +77,68 @@ def metres_per_degree(lat: Column) -> tuple[Column, Column]:
     """Metres of a degree of longitude and of latitude at ``lat`` (equirectangular)."""
     one = math.pi * EARTH_RADIUS / 180
     return F.cos(F.radians(lat)) * one, F.lit(one)
+
+
+def position_valid(lon: Column, lat: Column) -> Column:
+    """Longitude and latitude within the earth's bounds."""
+    return finite(lon) & finite(lat) & F.abs(lon).between(0, 180) & F.abs(lat).between(0, 90)
+
+
+def coordinate_key(lon: Column, lat: Column, digits: int = 9) -> Column:
+    return F.format_string(f"%.{digits}f,%.{digits}f", lon, lat)
+
+
+def local_metres(lon: Column, lat: Column, lon0: Column, lat0: Column, reference: Column) -> tuple[Column, Column]:
+    """x and y from an origin, equirectangular at the latitude ``reference``."""
+    return F.radians(lon - lon0) * EARTH_RADIUS * F.cos(F.radians(reference)), F.radians(lat - lat0) * EARTH_RADIUS
+
+
+def project(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> tuple[Column, Column]:
+    """Position along a segment (0..1) of the place nearest to a point, and the squared distance to it."""
+    dx, dy = bx - ax, by - ay
+    square = dx * dx + dy * dy
+    t = F.when(square > 0, F.least(F.greatest(((px - ax) * dx + (py - ay) * dy) / square, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    ex, ey = px - (ax + t * dx), py - (ay + t * dy)
+    return t, ex * ex + ey * ey
+
+
+def crossing(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column, dx: Column, dy: Column) -> tuple[Column, Column, Column]:
+    """(found, t, u): where two segments cross, t along the first and u along the second; parallel ones don't."""
+    rx, ry, sx, sy = bx - ax, by - ay, dx - cx, dy - cy
+    det = rx * sy - ry * sx
+    safe = F.when(F.abs(det) > 1e-18, det)
+    t, u = ((cx - ax) * sy - (cy - ay) * sx) / safe, ((cx - ax) * ry - (cy - ay) * rx) / safe
+    slack = 1e-10
+    return F.coalesce(t.between(-slack, 1 + slack) & u.between(-slack, 1 + slack), F.lit(False)), t, u
+
+
+def ring_area(ring: Column) -> Column:
+    """Twice signed shoelace sum halved, in square degrees, of an array of struct(lon, lat); open rings are closed."""
+    n = F.size(ring)
+    term = lambda p, i: p["lon"] * F.get(ring, (i + 1) % n)["lat"] - F.get(ring, (i + 1) % n)["lon"] * p["lat"]
+    return F.aggregate(F.transform(ring, term), F.lit(0.0), lambda a, x: a + x) / 2
+
+
+def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Web Mercator in the unit square, y down."""
+    sine = F.least(F.greatest(F.sin(F.radians(lat)), F.lit(-0.9999)), F.lit(0.9999))
+    return (lon + 180) / 360, F.lit(0.5) - F.log((1 + sine) / (1 - sine)) / (4 * math.pi)
+
+
+def grid_cell(lon: Column, lat: Column, reference: Column | float, metres: float) -> tuple[Column, Column]:
+    """Column and row of a metre grid at a reference latitude."""
+    reference = F.lit(reference) if isinstance(reference, (int, float)) else reference
+    return F.floor(F.radians(lon) * EARTH_RADIUS * F.cos(F.radians(reference)) / metres), F.floor(F.radians(lat) * EARTH_RADIUS / metres)
+
+
+def boxes_meet(a: list[Column], b: list[Column]) -> Column:
+    """Whether two boxes (west, south, east, north) have a place in common; null meets nothing."""
+    return F.coalesce((a[0] <= b[2]) & (a[2] >= b[0]) & (a[1] <= b[3]) & (a[3] >= b[1]), F.lit(False))
+
+
+def rotated_corners(west: Column, south: Column, east: Column, north: Column, degrees: Column) -> Column:
+    """Corners of an overlay's box turned about its centre, from the north-west clockwise."""
+    cx, cy = (west + east) / 2, (south + north) / 2
+    c, s = F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
+    turn = lambda x, y: F.struct((cx + (x - cx) * c - (y - cy) * s).alias("lon"), (cy + (x - cx) * s + (y - cy) * c).alias("lat"))
+    return F.array(turn(west, north), turn(east, north), turn(east, south), turn(west, south))
