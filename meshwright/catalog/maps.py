@@ -49,7 +49,7 @@ def geo_positions(spark: SparkSession, d: str) -> DataFrame:
     rows = views.points(spark, d)
     x, y = geo.mercator(F.col("lon"), F.col("lat"))
     col, row = geo.grid_cell(F.col("lon"), F.col("lat"), -11.0, 25.0)
-    return rows.select("geometry_id", geo.coordinate_key(F.col("lon"), F.col("lat")).alias("place"), F.round(x, 9).alias("x"), F.round(y, 9).alias("y"), col.alias("grid_col"), row.alias("grid_row"))
+    return rows.select("geometry_id", geo.coordinate_key(F.col("lon"), F.col("lat")).alias("place"), F.floor(x * (1 << 24)).alias("pixel_x"), F.floor(y * (1 << 24)).alias("pixel_y"), col.alias("grid_col"), row.alias("grid_row"))
 
 
 def geo_validity(spark: SparkSession, d: str) -> DataFrame:
@@ -188,7 +188,8 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _WORDS = "list_transform(list_filter(string_split(t, ' '), lambda w: w <> ''), lambda w: case when regexp_full_match(w, '[0-9]+') then regexp_replace(w, '^0+([0-9])', '\\1') else w end)"
-_SEGS = "segs as (select dv, geometry_id as line_id, i - 1 as seg, line[i][1] as ax, line[i][2] as ay, line[i + 1][1] as bx, line[i + 1][2] as by from (select *, unnest(range(1, len(line))) as i from lines))"
+_SEGS = "segs as (select dv, line_id, seg, x1, y1, x1 + (x2 - x1) - 360 * round((x2 - x1) / 360) as x2, y2 from (select dv, geometry_id as line_id, i - 1 as seg, line[i][1] as x1, line[i][2] as y1, line[i + 1][1] as x2, line[i + 1][2] as y2 from (select *, unnest(range(1, len(line))) as i from lines)))"
+_BOTH = "both_ as (select a.line_id as first_line, b.line_id as second_line, a.x1 as ax1, a.y1 as ay1, a.x2 as ax2, a.y2 as ay2, b.x1 - 360 * round((b.x1 - a.x1) / 360) as bx1, b.y1 as by1, b.x2 - 360 * round((b.x1 - a.x1) / 360) as bx2, b.y2 as by2 from segs a join segs b on a.dv = b.dv and a.line_id < b.line_id and least(a.y1, a.y2) <= greatest(b.y1, b.y2) + 1e-9 and greatest(a.y1, a.y2) >= least(b.y1, b.y2) - 1e-9)"
 _ENDS = """ends as (select dv, 'endpoint:' || geometry_id || ':start' as endpoint_id, geometry_id as line_id, line[1][1] as lon, line[1][2] as lat, line[2][1] as lon2, line[2][2] as lat2 from lines
   union all select dv, 'endpoint:' || geometry_id || ':end', geometry_id, line[-1][1], line[-1][2], line[-2][1], line[-2][2] from lines)"""
 _REACH = f"reach as (select e.endpoint_id, x.geometry_id, {_hav('e.lon', 'e.lat', 'x.lon', 'x.lat')} as distance from ends e join devices x on x.dv = e.dv and x.asset_type <> 'pole' and abs(x.lat - e.lat) < 0.0001 where {_hav('e.lon', 'e.lat', 'x.lon', 'x.lat')} <= 6)"
@@ -206,27 +207,25 @@ SQL = {
       m as (select *, list_position(list_transform(s, lambda p: regexp_matches(p, 'cable|kabel|cctv|camera|junction box|juction box|jucntion box|tiang|server|switch|router')), true) as k from s)
       select object_id, array_to_string(s[1:case when coalesce(k, 0) > 1 then k - 1 else 2 end], '/') as location_key, s[2] as facility, s[2] as mounting_scope, replace(s[2], ' ', '-') as location_group from m""",
     "text_shared_tokens": sql_with("assets") + f", n as (select dv, asset_id, parent_id, {_NORM.format('source_name')} as t from assets) select a.dv, a.asset_id, len(list_filter(string_split(a.t, ' '), lambda w: len(w) > 2 and list_contains(string_split(p.t, ' '), w)))::int as n_shared from n a join n p on p.dv = a.dv and p.asset_id = a.parent_id",
-    "geo_positions": sql_with("points") + ", m as (select *, least(greatest(sin(radians(lat)), -0.9999), 0.9999) as s from points) select geometry_id, printf('%.9f,%.9f', lon, lat) as place, round((lon + 180) / 360, 9) as x, round(0.5 - ln((1 + s) / (1 - s)) / (4 * pi()), 9) as y, floor(radians(lon) * 6371008.8 * cos(radians(-11.0)) / 25.0)::bigint as grid_col, floor(radians(lat) * 6371008.8 / 25.0)::bigint as grid_row from m",
+    "geo_positions": sql_with("points") + ", m as (select *, least(greatest(sin(radians(lat)), -0.9999), 0.9999) as s from points) select geometry_id, printf('%.9f,%.9f', lon, lat) as place, floor((lon + 180) / 360 * 16777216)::bigint as pixel_x, floor((0.5 - ln((1 + s) / (1 - s)) / (4 * pi())) * 16777216)::bigint as pixel_y, floor(radians(lon) * 6371008.8 * cos(radians(-11.0)) / 25.0)::bigint as grid_col, floor(radians(lat) * 6371008.8 / 25.0)::bigint as grid_row from m",
     "geo_validity": sql_with("placed") + r""", p as (select valid, try_cast(string_split(regexp_replace(js, '[\[\]]', '', 'g'), ',')[1] as double) as lon, try_cast(string_split(regexp_replace(js, '[\[\]]', '', 'g'), ',')[2] as double) as lat from placed where kind = 'point') select valid, coalesce(lon between -180 and 180 and lat between -90 and 90, false) as in_bounds, count(*) as n from p group by all""",
     "geo_polygon_areas": sql_with("placed") + r""", r as (select geometry_id, list_transform(string_split(regexp_replace(regexp_replace(js, '^\[\[\[', ''), '\]\]\]$', ''), ']],[['), lambda x: list_transform(string_split(x, '],['), lambda p: [string_split(p, ',')[1]::double, string_split(p, ',')[2]::double])) as r from placed where kind = 'polygon' and valid and js like '[[[%')
       select geometry_id, round(abs(list_sum(list_transform(range(1, len(r[1]) + 1), lambda i: r[1][i][1] * r[1][i % len(r[1]) + 1][2] - r[1][i % len(r[1]) + 1][1] * r[1][i][2])) / 2) * 1e9, 3) as area, len(list_distinct(r[1]))::int as n_corners, (len(r) - 1)::int as n_holes, r[1][1] = r[1][-1] as closed from r""",
-    "line_lengths": sql_with("lines") + f", {_SEGS}, l as (select *, {_hav('ax', 'ay', 'bx', 'by')} as length from segs) select line_id, seg::int as seg, round(length, 6) as length, round(coalesce(sum(length) over (partition by dv, line_id order by seg rows between unbounded preceding and 1 preceding), 0), 6) as measure from l",
+    "line_lengths": sql_with("lines") + f", {_SEGS}, l as (select *, {_hav('x1', 'y1', 'x2', 'y2')} as length from segs) select line_id, seg::int as seg, round(length, 6) as length, round(coalesce(sum(length) over (partition by dv, line_id order by seg rows between unbounded preceding and 1 preceding), 0), 6) as measure from l",
     "line_duplicates": sql_with("lines") + ", k as (select dv, geometry_id, array_to_string(list_transform(line, lambda p: printf('%.10f,%.10f', p[1], p[2])), '|') as f, array_to_string(list_reverse(list_transform(line, lambda p: printf('%.10f,%.10f', p[1], p[2]))), '|') as b from lines) select geometry_id as line_id, min(geometry_id) over w as first_line, count(*) over w as n_lines from k window w as (partition by dv, least(f, b)) qualify n_lines > 1",
-    "line_crossings": sql_with("lines") + f""", {_SEGS}, x as (select a.line_id as first_line, b.line_id as second_line, a.ax, a.ay, a.bx, a.by, ((b.ax - a.ax) * (b.by - b.ay) - (b.ay - a.ay) * (b.bx - b.ax)) / nullif(det, 0) as t, ((b.ax - a.ax) * (a.by - a.ay) - (b.ay - a.ay) * (a.bx - a.ax)) / nullif(det, 0) as u
-      from (select a, b, (a.bx - a.ax) * (b.by - b.ay) - (a.by - a.ay) * (b.bx - b.ax) as det from segs a join segs b on a.dv = b.dv and a.line_id < b.line_id and least(a.ax, a.bx) <= greatest(b.ax, b.bx) + 1e-9 and greatest(a.ax, a.bx) >= least(b.ax, b.bx) - 1e-9 and least(a.ay, a.by) <= greatest(b.ay, b.by) + 1e-9 and greatest(a.ay, a.by) >= least(b.ay, b.by) - 1e-9) where abs(det) > 1e-18)
-      select first_line, second_line, count(distinct (round(ax + t * (bx - ax), 6), round(ay + t * (by - ay), 6))) as n_places from x where t between -1e-10 and 1 + 1e-10 and u between -1e-10 and 1 + 1e-10 group by all""",
-    "line_overlaps": sql_with("lines") + f""", {_SEGS} select distinct a.line_id as first_line, b.line_id as second_line from segs a join segs b on a.dv = b.dv and a.line_id < b.line_id and least(a.ax, a.bx) <= greatest(b.ax, b.bx) and greatest(a.ax, a.bx) >= least(b.ax, b.bx)
-      where abs((a.bx - a.ax) * (b.ay - a.ay) - (a.by - a.ay) * (b.ax - a.ax)) <= 1e-10 and abs((a.bx - a.ax) * (b.by - a.ay) - (a.by - a.ay) * (b.bx - a.ax)) <= 1e-10
-      and case when abs(a.bx - a.ax) >= abs(a.by - a.ay) then least(greatest(a.ax, a.bx), greatest(b.ax, b.bx)) - greatest(least(a.ax, a.bx), least(b.ax, b.bx)) > 1e-10 else least(greatest(a.ay, a.by), greatest(b.ay, b.by)) - greatest(least(a.ay, a.by), least(b.ay, b.by)) > 1e-10 end""",
+    "line_crossings": sql_with("lines") + f""", {_SEGS}, {_BOTH}, x as (select *, ((bx1 - ax1) * (by2 - by1) - (by1 - ay1) * (bx2 - bx1)) / det as t, ((bx1 - ax1) * (ay2 - ay1) - (by1 - ay1) * (ax2 - ax1)) / det as u from (select *, (ax2 - ax1) * (by2 - by1) - (ay2 - ay1) * (bx2 - bx1) as det from both_) where abs(det) > 1e-18)
+      select first_line, second_line, count(distinct (round(ax1 + t * (ax2 - ax1), 6), round(ay1 + t * (ay2 - ay1), 6))) as n_places from x where t between -1e-10 and 1 + 1e-10 and u between -1e-10 and 1 + 1e-10 group by all""",
+    "line_overlaps": sql_with("lines") + f""", {_SEGS}, {_BOTH} select distinct first_line, second_line from both_ where abs((ax2 - ax1) * (by1 - ay1) - (ay2 - ay1) * (bx1 - ax1)) <= 1e-10 and abs((ax2 - ax1) * (by2 - ay1) - (ay2 - ay1) * (bx2 - ax1)) <= 1e-10
+      and case when abs(ax2 - ax1) >= abs(ay2 - ay1) then least(greatest(ax1, ax2), greatest(bx1, bx2)) - greatest(least(ax1, ax2), least(bx1, bx2)) > 1e-10 else least(greatest(ay1, ay2), greatest(by1, by2)) - greatest(least(ay1, ay2), least(by1, by2)) > 1e-10 end""",
     "endpoint_devices": sql_with("devices", "lines") + f", {_ENDS}, {_REACH} select endpoint_id, geometry_id, round(distance, 6) as distance, round(exp(-(distance * distance) / 12.5), 6) as distance_score from reach",
     "endpoint_unresolved": sql_with("devices", "lines") + f", {_ENDS}, {_REACH} select dv, endpoint_id from ends where endpoint_id not in (select endpoint_id from reach)",
     "endpoint_nearest": sql_with("devices", "lines") + f", {_ENDS}, {_REACH} select endpoint_id, geometry_id, round(distance, 6) as distance, coalesce(lead(distance) over w - distance < 0.75, false) as ambiguous from reach window w as (partition by endpoint_id order by distance, geometry_id) qualify row_number() over w = 1",
-    "inline_devices": sql_with("devices", "lines") + f""", {_SEGS}, l as (select *, {_hav('ax', 'ay', 'bx', 'by')} as length from segs), m as (select *, coalesce(sum(length) over (partition by dv, line_id order by seg rows between unbounded preceding and 1 preceding), 0) as measure, sum(length) over (partition by dv, line_id) as total from l),
-      q as (select m.*, x.geometry_id, radians(x.lon - ax) * 6371008.8 * cos(radians(x.lat)) as px, radians(x.lat - ay) * 6371008.8 as py, radians(bx - ax) * 6371008.8 * cos(radians(x.lat)) as qx, radians(by - ay) * 6371008.8 as qy from m join devices x on x.dv = m.dv and x.asset_type <> 'pole' and x.lat between least(ay, by) - 0.0001 and greatest(ay, by) + 0.0001 and x.lon between least(ax, bx) - 0.0001 and greatest(ax, bx) + 0.0001),
+    "inline_devices": sql_with("devices", "lines") + f""", {_SEGS}, l as (select *, {_hav('x1', 'y1', 'x2', 'y2')} as length from segs), m as (select *, coalesce(sum(length) over (partition by dv, line_id order by seg rows between unbounded preceding and 1 preceding), 0) as measure, sum(length) over (partition by dv, line_id) as total from l),
+      q as (select m.*, x.geometry_id, radians(x.lon - x1 - 360 * round((x.lon - x1) / 360)) * 6371008.8 * cos(radians(x.lat)) as px, radians(x.lat - y1) * 6371008.8 as py, radians(x2 - x1) * 6371008.8 * cos(radians(x.lat)) as qx, radians(y2 - y1) * 6371008.8 as qy from m join devices x on x.dv = m.dv and x.asset_type <> 'pole' and x.lat between least(y1, y2) - 0.0001 and greatest(y1, y2) + 0.0001),
       t as (select *, case when qx * qx + qy * qy > 0 then least(greatest((px * qx + py * qy) / (qx * qx + qy * qy), 0), 1) else 0 end as t from q), r as (select *, sqrt(pow(px - t * qx, 2) + pow(py - t * qy, 2)) as distance, measure + t * length as at_m from t),
       b as (select * from r where distance <= 2 qualify row_number() over (partition by line_id, geometry_id order by distance, seg) = 1)
       select line_id, geometry_id, round(distance, 5) as distance, round(at_m, 3) as measure from b where at_m > 5 and total - at_m > 5""",
-    "endpoint_continuations": sql_with("devices", "lines") + f""", {_ENDS}, {_REACH}, f as (select *, line_id || ':' || string_split(endpoint_id, ':')[-1] as end_id, radians(lon2 - lon) * cos(radians(lat)) as ux, radians(lat2 - lat) as uy from ends where endpoint_id not in (select endpoint_id from reach)),
+    "endpoint_continuations": sql_with("devices", "lines") + f""", {_ENDS}, {_REACH}, f as (select *, line_id || ':' || string_split(endpoint_id, ':')[-1] as end_id, radians(lon2 - lon - 360 * round((lon2 - lon) / 360)) * cos(radians(lat)) as ux, radians(lat2 - lat) as uy from ends where endpoint_id not in (select endpoint_id from reach)),
       p as (select a.end_id as first_end, b.end_id as second_end, {_hav('a.lon', 'a.lat', 'b.lon', 'b.lat')} as distance, a.ux * b.ux + a.uy * b.uy as dot, sqrt((a.ux * a.ux + a.uy * a.uy) * (b.ux * b.ux + b.uy * b.uy)) as norm from f a join f b on a.dv = b.dv and a.line_id <> b.line_id and a.end_id < b.end_id and abs(a.lat - b.lat) < 0.0001)
       select first_end, second_end, round(distance, 5) as distance, round(180 - degrees(acos(greatest(least(dot / norm, 1), -1))), 4) as deviation from p where distance <= 6 and norm > 0 and 180 - degrees(acos(greatest(least(dot / norm, 1), -1))) <= 30""",
     "nearest_junction": sql_with("devices") + f""", p as (select c.geometry_id as camera_id, b.geometry_id as box_id, {_hav('c.lon', 'c.lat', 'b.lon', 'b.lat')} as distance from devices c join devices b on b.dv = c.dv and b.asset_type = 'junction_box' and abs(b.lat - c.lat) < 0.0004 where c.asset_type like 'cctv%'),

@@ -88,9 +88,14 @@ def coordinate_key(lon: Column, lat: Column, digits: int = 9) -> Column:
     return F.format_string(f"%.{digits}f,%.{digits}f", lon, lat)
 
 
+def turned(delta: Column) -> Column:
+    """A difference of longitudes the short way round."""
+    return delta - 360 * F.round(delta / 360)
+
+
 def local_metres(lon: Column, lat: Column, lon0: Column, lat0: Column, reference: Column) -> tuple[Column, Column]:
     """x and y from an origin, equirectangular at the latitude ``reference``."""
-    return F.radians(lon - lon0) * EARTH_RADIUS * F.cos(F.radians(reference)), F.radians(lat - lat0) * EARTH_RADIUS
+    return F.radians(turned(lon - lon0)) * EARTH_RADIUS * F.cos(F.radians(reference)), F.radians(lat - lat0) * EARTH_RADIUS
 
 
 def project(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> tuple[Column, Column]:

@@ -84,10 +84,13 @@ def unique_nearest(pairs: DataFrame, margin: float, ratio: float) -> DataFrame:
 
 
 def segments(lines: DataFrame) -> DataFrame:
-    """(scope, line_id, seg, ax, ay, bx, by, length, measure) of lines (scope, line_id, line): each segment and where it begins along its line."""
+    """(scope, line_id, seg, ax, ay, bx, by, length, measure) of lines (scope, line_id, line): each segment and where it begins along its line.
+
+    A segment runs the short way round, so ``bx`` may lie beyond 180 degrees.
+    """
     pairs = F.transform(F.sequence(F.lit(1), F.size("line") - 1), lambda i: F.struct((i - 1).alias("seg"), F.get("line", i - 1).alias("a"), F.get("line", i).alias("b")))
     flat = lines.filter(F.size("line") >= 2).select("scope", "line_id", F.inline(pairs))
-    flat = flat.select("scope", "line_id", "seg", F.col("a.lon").alias("ax"), F.col("a.lat").alias("ay"), F.col("b.lon").alias("bx"), F.col("b.lat").alias("by"))
+    flat = flat.select("scope", "line_id", "seg", F.col("a.lon").alias("ax"), F.col("a.lat").alias("ay"), (F.col("a.lon") + geo.turned(F.col("b.lon") - F.col("a.lon"))).alias("bx"), F.col("b.lat").alias("by"))
     flat = flat.withColumn("length", geo.haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
     before = Window.partitionBy("scope", "line_id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
     return flat.withColumn("measure", F.coalesce(F.sum("length").over(before), F.lit(0.0)))
@@ -134,7 +137,8 @@ def crossings(lines: DataFrame, cell: float = 50.0, digits: int = 9) -> DataFram
     covered = _in_cells(segments(lines).drop("length", "measure"), cell, 0.0)
     a, b = covered.alias("a"), covered.alias("b")
     on = (F.col("a.scope") == F.col("b.scope")) & (F.col("a._row") == F.col("b._row")) & (F.col("a._col") == F.col("b._col")) & (F.col("a.line_id") < F.col("b.line_id"))
-    found, t, _ = geo.crossing(*[F.col(f"{s}.{c}") for s in "ab" for c in ("ax", "ay", "bx", "by")])
+    turn = F.col("a.ax") + geo.turned(F.col("b.ax") - F.col("a.ax")) - F.col("b.ax")  # both on one side of the date line
+    found, t, _ = geo.crossing(*[F.col(f"a.{c}") for c in ("ax", "ay", "bx", "by")], F.col("b.ax") + turn, F.col("b.ay"), F.col("b.bx") + turn, F.col("b.by"))
     at = lambda p, q: F.round(F.col(f"a.{p}") + t * (F.col(f"a.{q}") - F.col(f"a.{p}")), digits)
     return a.join(b, on).filter(found).select("a.scope", F.col("a.line_id").alias("first_line"), F.col("b.line_id").alias("second_line"), at("ax", "bx").alias("lon"), at("ay", "by").alias("lat")).distinct()
 
@@ -144,7 +148,8 @@ def overlaps(lines: DataFrame, cell: float = 50.0) -> DataFrame:
     covered = _in_cells(segments(lines).drop("length", "measure"), cell, 0.0)
     a, b = covered.alias("a"), covered.alias("b")
     on = (F.col("a.scope") == F.col("b.scope")) & (F.col("a._row") == F.col("b._row")) & (F.col("a._col") == F.col("b._col")) & (F.col("a.line_id") < F.col("b.line_id"))
-    c = lambda s, n: F.col(f"{s}.{n}")
+    turn = F.col("a.ax") + geo.turned(F.col("b.ax") - F.col("a.ax")) - F.col("b.ax")
+    c = lambda s, n: F.col(f"{s}.{n}") + turn if s == "b" and n in ("ax", "bx") else F.col(f"{s}.{n}")
     dx, dy = c("a", "bx") - c("a", "ax"), c("a", "by") - c("a", "ay")
     flat = lambda p, q: F.abs(dx * (c("b", q) - c("a", "ay")) - dy * (c("b", p) - c("a", "ax"))) <= 1e-10
 
