@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words at the end of a device label that don't belong to its name.
 LABEL_SUFFIXES = ("exp", "extended", "wp", "rekomendasi", "recommendation")
@@ -18,7 +19,7 @@ MOUNTING_MARKERS = ("cable", "kabel", "cctv", "camera", "junction", "junction bo
 ROOT_FOLDER, OTHER_GROUP = "rjbt", "lainnya"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _without_accents(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not "̀" <= c <= "ͯ"), na_action="ignore")
 
