@@ -263,12 +263,12 @@ def _valid(spark: SparkSession, d: str, kind: str) -> DataFrame:
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
     place = F.when(geo.has_coordinates("coordinates"), geo.point_from_json("coordinates")).otherwise(geo.point_from_wkt("geometry"))
-    return _valid(spark, d, "point").select("scope", "id", "owner", place.alias("p")).select("scope", "id", "owner", "p.lon", "p.lat")
+    return _valid(spark, d, "point").select("scope", "id", "owner", F.inline(F.array(place)))  # a generator: the text is parsed once, however often its parts are used
 
 
 def _regions(spark: SparkSession, d: str) -> DataFrame:
     rings = F.when(geo.has_coordinates("coordinates"), geo.rings_from_json("coordinates")).otherwise(geo.rings_from_wkt("geometry"))
-    return _valid(spark, d, "polygon").select("scope", "id", rings.alias("rings"))
+    return _valid(spark, d, "polygon").select("scope", "id", F.explode(F.array(rings)).alias("rings"))
 
 
 #: Metres within which two points are near.

@@ -28,7 +28,7 @@ def geometries(spark: SparkSession, d: str) -> DataFrame:
 
 def points(spark: SparkSession, d: str) -> DataFrame:
     place = F.when(geo.has_coordinates("coordinates"), geo.point_from_json("coordinates")).otherwise(geo.point_from_wkt("geometry"))
-    rows = geometries(spark, d).filter("valid and kind = 'point'").select("geometry_id", "dv", "feature_id", place.alias("p")).select("geometry_id", "dv", "feature_id", "p.lon", "p.lat")
+    rows = geometries(spark, d).filter("valid and kind = 'point'").select("geometry_id", "dv", "feature_id", F.inline(F.array(place)))  # a generator: the text is parsed once, however often its parts are used
     return rows.filter(geo.position_valid(F.col("lon"), F.col("lat")))
 
 
@@ -45,7 +45,7 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     wkt = F.transform(F.split(body, ","), lambda p: F.split(F.trim(p), r"\s+"))
     path = F.when(geo.has_coordinates("coordinates"), numbers).otherwise(F.when(body != "", wkt))
     place = lambda p: F.struct(F.try_element_at(p, F.lit(1)).try_cast("double").alias("lon"), F.try_element_at(p, F.lit(2)).try_cast("double").alias("lat"))
-    rows = geometries(spark, d).filter("valid and kind = 'linestring'").select("geometry_id", "dv", "feature_id", F.transform(path, place).alias("line"))
+    rows = geometries(spark, d).filter("valid and kind = 'linestring'").select("geometry_id", "dv", "feature_id", F.explode(F.array(F.transform(path, place))).alias("line"))
     return rows.filter((F.size("line") >= 2) & F.forall("line", lambda p: geo.position_valid(p["lon"], p["lat"])))
 
 
