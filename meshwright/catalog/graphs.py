@@ -171,6 +171,16 @@ def graph_validation(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("dv", F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code")).groupBy("dv", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
+def collapsed_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Devices that confirmed candidates attach one after the other to the same line, as edges."""
+    rows = views.candidates(spark, d).filter("candidate_status = 'confirmed' and target_id is not null")
+    parts = lambda k: F.nullif(F.regexp_extract("endpoint_id", "^endpoint:(.*):(start|inline|end)$", k), F.lit(""))
+    place = F.when(parts(2) == "start", 0).when(parts(2) == "inline", 1).otherwise(2)
+    attached = rows.select(F.col("dv").alias("scope"), parts(1).alias("line"), place.alias("place"), F.col("target_id").alias("device"))
+    joints = attached.select("scope", F.col("line").alias("a"), F.col("line").alias("b")).limit(0)
+    return g.collapse(attached, joints).select(F.col("scope").alias("dv"), F.col("a").alias("first_id"), F.col("b").alias("second_id"), F.col("cable").alias("line_id"))
+
+
 def relation_delta(spark: SparkSession, d: str) -> DataFrame:
     """Edges of one store against the other, as sets of ids per version: added, removed, retained."""
     rows = read(spark, d, "graph_edges").select(F.lower(trimmed("store")).alias("store"), F.coalesce(norm_id("dataset_version_id"), F.lit("")).alias("dv"), norm_id("edge_id").alias("edge_id")).distinct()
@@ -181,7 +191,7 @@ def relation_delta(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     graph_degrees, graph_isolated, graph_components, graph_component_summary, graph_roots, trace_hops, trace_downstream, trace_upstream, trace_paths, trace_tainted, trace_reasons, impact_failure, impact_groups,
-    graph_directions, graph_neighbours, graph_subgraph, relation_dedupe, graph_validation, relation_delta,
+    graph_directions, graph_neighbours, graph_subgraph, relation_dedupe, graph_validation, collapsed_edges, relation_delta,
 )}
 
 _BOTH = "arcs as (select dv, source_id as a, target_id as b from graph union select dv, target_id, source_id from graph)"
@@ -223,5 +233,7 @@ SQL = {
     "graph_validation": sql_with("assets", "edges") + """, n as (select distinct dv, asset_id from assets), e as (select *, (dv, source_id) in (select dv, asset_id from n) as s, (dv, target_id) in (select dv, asset_id from n) as t, count(*) over (partition by dv, least(source_id, target_id), greatest(source_id, target_id), family) as same from edges)
       select dv, code, count(*) as n from (select dv, unnest([case when verification <> 'confirmed' then 'non_confirmed_edge_in_graph' end, case when source_id is null or target_id is null then 'dangling_edge' end, case when source_id = target_id then 'accidental_self_loop' end,
       case when source_id is not null and target_id is not null and same > 1 then 'duplicate_edge' end, case when (source_id is not null and not s) or (target_id is not null and not t) then 'unknown_asset' end]) as code from e) where code is not null group by all""",
+    "collapsed_edges": sql_with("candidates") + """, a as (select dv, regexp_extract(endpoint_id, '^endpoint:(.*):(start|inline|end)$', 1) as line, case regexp_extract(endpoint_id, '^endpoint:(.*):(start|inline|end)$', 2) when 'start' then 0 when 'inline' then 1 else 2 end as place, target_id as device from candidates where candidate_status = 'confirmed' and target_id is not null and endpoint_id like 'endpoint:%'),
+      n as (select *, lead(device) over (partition by dv, line order by place, device) as nxt from a) select dv, least(device, nxt) as first_id, greatest(device, nxt) as second_id, min(line) as line_id from n where nxt is not null and nxt <> device group by 1, 2, 3""",
     "relation_delta": "with r as (select distinct lower(trim(store)) as store, coalesce(nullif(lower(trim(dataset_version_id, ' ' || chr(9) || chr(10) || chr(160) || chr(8195))), ''), '') as dv, nullif(lower(trim(edge_id, ' ' || chr(9) || chr(10) || chr(160) || chr(8195))), '') as edge_id from graph_edges), h as (select dv, edge_id, bool_or(store = 'postgres') as p, bool_or(store = 'json') as j from r group by all) select dv, case when p and j then 'retained' when j then 'added' else 'removed' end as change, count(*) as n_edges from h group by all",
 }

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, score, text
 from ..operators import gridjoin as g
+from ..operators import labels
+from ..sources import kml
 from . import views
 from .views import sql_with
 
@@ -240,3 +242,28 @@ SQL = {
       select candidate_id, round(0.30 * coalesce(case when candidate_type in ('explicit_metadata', 'line_label_connection') then 1.0 else least(greatest(exp(-(distance * distance) / 12.5), 0), 1) end, 0) + 0.25 + 0.15 * case when candidate_type = 'explicit_metadata' then 1.0 else 0.0 end + 0.15 * case when site_id <> '' then 0.6 else 0.3 end
         + 0.05 * case when coalesce(wanted = 'inline', false) or coalesce(found = 'inline', false) then case when wanted is not distinct from found then 1.0 else 0.0 end when wanted is null then 0.9 when wanted = found then 1.0 else 0.5 end + 0.025 + 0.05, 6) as total from f""",
 }
+
+
+def label_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Devices of which the names of lines speak, also by the last two words of their names."""
+    own = views.assets(spark, d).select(F.col("dv").alias("scope"), "object_id", "object_role", F.col("source_name").alias("name"))
+    lines = own.filter("object_role = 'cable_path'").select("scope", F.col("object_id").alias("line_id"), "name")
+    devices = own.filter("object_role = 'device_node'").select("scope", F.col("object_id").alias("device_id"), "name")
+    return labels.match_labels(lines, devices, 2).select("line_id", "device_id", "label")
+
+
+def kml_placemarks(spark: SparkSession, d: str) -> DataFrame:
+    """Placemark elements of points and lines."""
+    points = views.points(spark, d).select("geometry_id", F.lit("Point").alias("kind"), F.array(F.struct("lon", "lat")).alias("line"))
+    lines = views.lines(spark, d).select("geometry_id", F.lit("LineString").alias("kind"), "line")
+    return points.unionByName(lines).select("geometry_id", kml.placemark(F.col("geometry_id"), F.col("kind"), F.transform("line", lambda p: F.struct(p["lon"].cast("decimal(12,9)").alias("lon"), p["lat"].cast("decimal(12,9)").alias("lat")))).alias("xml"))
+
+
+QUERIES |= {"label_matches": label_matches, "kml_placemarks": kml_placemarks}
+SQL |= {
+    "label_matches": sql_with("assets") + f""", w as (select dv, object_id, object_role, {_WORDS} as w from (select *, {_NORM.format('source_name')} as t from assets)), d as (select dv, object_id, unnest(list_distinct(list_filter([array_to_string(w, ' '), case when len(w) > 2 then array_to_string(w[-2:], ' ') end, case when w[1] = 'server' then 'svr' end] || case when array_to_string(w, ' ') like '%server rack%' or array_to_string(w, ' ') like '%rack server%' then ['rs', 'cr', 'svr office'] else [] end, lambda x: x is not null and x <> ''))) as run from w where object_role = 'device_node'),
+      k as (select dv, run, min(object_id) as device_id from d group by all having min(object_id) = max(object_id)), p as (select dv, object_id as line_id, w, unnest(range(1, len(w) + 1)) as i from w where object_role = 'cable_path'),
+      r as (select dv, line_id, i, n, array_to_string(w[i:i + n - 1], ' ') as run from (select *, unnest(range(1, least(6, len(w) - i + 1) + 1)) as n from p)), f as (select * from r join k using (dv, run)),
+      o as (select * from f where not exists (select 1 from f g where g.dv = f.dv and g.line_id = f.line_id and g.i <= f.i and g.i + g.n >= f.i + f.n and g.n > f.n)) select line_id, device_id, run as label from o qualify row_number() over (partition by dv, line_id, device_id order by i, n desc) = 1""",
+    "kml_placemarks": sql_with("points", "lines") + """, g as (select geometry_id, 'Point' as kind, [[lon, lat]] as line from points union all select geometry_id, 'LineString', line from lines) select geometry_id, '<Placemark><name>' || geometry_id || '</name><' || kind || '><coordinates>' || array_to_string(list_transform(line, lambda p: p[1]::decimal(12, 9)::varchar || ',' || p[2]::decimal(12, 9)::varchar), ' ') || '</coordinates></' || kind || '></Placemark>' as xml from g""",
+}

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lookups import lookup
@@ -228,6 +228,24 @@ def shortest_paths(arcs: DataFrame, starts: DataFrame, most: int = 10_000, block
     return hops.join(before, ["scope", "node"], "left").select("scope", "node", "hops", "before")
 
 
+def collapse(attached: DataFrame, joints: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(scope, a, b, cable, n_lines): devices that follow each other along a cable, as direct edges.
+
+    ``attached`` (scope, line, place, device) says what a line meets, in order
+    of ``place``; ``joints`` (scope, a, b) which lines run on into each other
+    and so make one cable, named by its least line. Each pair of devices has
+    one edge, by the cable of fewest lines, then of the least name. Devices of
+    a cable are linked one to the next, not each to all.
+    """
+    cables = components(joints, block_rows).withColumnRenamed("node", "line").withColumnRenamed("component", "cable")
+    met = attached.filter("line is not null and device is not null").join(cables, ["scope", "line"], "left").withColumn("cable", F.coalesce("cable", "line"))
+    order = Window.partitionBy("scope", "cable").orderBy("line", "place", "device")
+    following = met.withColumn("next", F.lead("device").over(order)).filter("next is not null and next != device")
+    sizes = met.groupBy("scope", "cable").agg(F.count_distinct("line").alias("n_lines"))
+    pairs = following.join(sizes, ["scope", "cable"]).groupBy("scope", F.least("device", "next").alias("a"), F.greatest("device", "next").alias("b")).agg(F.min(F.struct("n_lines", "cable")).alias("m"))
+    return pairs.select("scope", "a", "b", "m.cable", "m.n_lines")
+
+
 def within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The induced subgraph: edges (scope, a, b, ...) with both ends among nodes (scope, node)."""
     for end in ("a", "b"):

@@ -113,3 +113,10 @@ def test_revision_ignores_order(spark):
     three = hashes.revision(spark.createDataFrame(rows[1:], "v string, a string, b string"), ["v"], ["a", "b"])
     as_dict = lambda df: {r["v"]: r["revision"] for r in df.collect()}
     assert as_dict(one) == as_dict(two) and as_dict(one)["v"] != as_dict(three)["v"]
+
+
+def test_collapse(spark):
+    attached = spark.createDataFrame([("s", "l1", 0, "a"), ("s", "l1", 2, "b"), ("s", "l2", 2, "c"), ("s", "l3", 0, "a"), ("s", "l3", 1, "b"), ("s", "l4", 0, "z"), ("s", None, 0, "z"), ("s", "l1", 1, None)], "scope string, line string, place int, device string")
+    joints = spark.createDataFrame([("s", "l1", "l2")], "scope string, a string, b string")
+    assert {tuple(r) for r in graph.collapse(attached, joints).collect()} == {("s", "a", "b", "l3", 1), ("s", "b", "c", "l1", 2)}
+    assert graph.collapse(attached.limit(0), joints).count() == 0
