@@ -14,17 +14,23 @@ def lookup(many: DataFrame, one: DataFrame, on: list[str], how: str = "left", ho
 
     Keys with more than ``hot_rows`` rows in ``many`` (at most rows / hot_rows
     of them, so their partners are a proven small table) are joined by
-    broadcast and never shuffled; all others by an ordinary join. ``many`` is
-    read twice and should be a staged table.
+    broadcast and never shuffled; all others by an ordinary join. Rows without
+    a key, which might be many, meet nothing and aren't shuffled either.
+    ``many`` is read several times and should be a staged table.
     """
-    hot = many.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*on)
+    given = many.dropna(subset=on)
+    hot = given.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*on)
     rows = hot.collect()
-    if not rows:
-        return many.join(one, on, how)
-    spark = many.sparkSession
-    keys = F.broadcast(spark.createDataFrame([tuple(r) for r in rows], hot.schema))
-    partners = one.join(keys, on, "left_semi")
-    few = F.broadcast(spark.createDataFrame([tuple(r) for r in partners.collect()], partners.schema))
-    inner = "left_semi" if how == "left_semi" else how
-    cold = many.join(keys, on, "left_anti").join(one, on, how)
-    return cold.unionByName(many.join(keys, on, "left_semi").join(few, on, inner))
+    if rows:
+        keys = F.broadcast(many.sparkSession.createDataFrame([tuple(r) for r in rows], hot.schema))
+        out = given.join(keys, on, "left_anti").join(one, on, how).unionByName(given.join(keys, on, "left_semi").join(F.broadcast(one.join(keys, on, "left_semi")), on, how))
+    else:
+        out = given.join(one, on, how)
+    if how != "left":
+        return out
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in one.schema if f.name not in on]
+    without = None
+    for c in on:
+        test = F.col(c).isNull()
+        without = test if without is None else without | test
+    return out.unionByName(many.filter(without).select("*", *missing))
