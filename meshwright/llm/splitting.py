@@ -25,9 +25,8 @@ their overlaps put together are the text.
 from __future__ import annotations
 
 import heapq
-import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,31 +44,70 @@ CLOSING = "\"')]}»”’"
 LIMITS = 10_000
 
 
+def _table(characters) -> np.ndarray:
+    """Whether a code below 65,536 is one of the characters."""
+    out = np.zeros(1 << 16, dtype=bool)
+    out[[ord(c) for c in characters]] = True
+    return out
+
+
+IS_SENTENCE, IS_CLAUSE, IS_WIDE, IS_CLOSING = map(_table, (SENTENCE_ENDS, CLAUSE_ENDS, WIDE_ENDS, CLOSING))
+IS_SPACE = _table(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+@lru_cache(maxsize=4)
+def token_bytes(encoding: tiktoken.Encoding) -> np.ndarray:
+    """Bytes of each token."""
+    out = np.zeros(encoding.n_vocab, dtype=np.int64)
+    for rank in encoding._mergeable_ranks.values():
+        out[rank] = len(encoding.decode_single_token_bytes(rank))
+    return out
+
+
 class Places:
     """Places of a text where it may be cut: token numbers, characters, and the strength of each."""
 
     def __init__(self, text: str, encoding: tiktoken.Encoding):
         tokens = encoding.encode_ordinary(text)
         data = text.encode()
-        ends = np.cumsum([len(b) for b in encoding.decode_tokens_bytes(tokens)])
+        ends = np.cumsum(token_bytes(encoding)[tokens]) if tokens else np.zeros(0, dtype=np.int64)
         first = (np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80  # first bytes of characters
         chars = np.concatenate([[0], np.cumsum(first)])
         whole = np.append(first, True)[ends] if len(ends) else np.zeros(0, dtype=bool)
         self.token = np.concatenate([[0], np.flatnonzero(whole) + 1])
         self.char = np.concatenate([[0], chars[ends[whole]]]) if len(ends) else np.zeros(1, dtype=np.int64)
-        self.strength = np.zeros(len(self.token), dtype=np.int8)
-        self.size, at = len(tokens), self.char.tolist()
-        for gap in re.finditer(r"\s+", text):
-            a, b = gap.span()
-            k = bisect_right(at, b) - 1
-            if k > 0 and at[k] >= a and b < len(text):
-                lines = gap.group().count("\n") or gap.group().count("\r")
-                before = text[max(0, a - 4) : a].rstrip(CLOSING)[-1:]
-                self.strength[k] = PARAGRAPH if lines > 1 else LINE if lines else SENTENCE if before in SENTENCE_ENDS and before else CLAUSE if before in CLAUSE_ENDS and before else WORD
-        for hit in re.finditer("[" + "".join(WIDE_ENDS) + "]", text):
-            k = bisect_left(at, hit.end())
-            if k < len(at) and at[k] == hit.end() < len(text):
-                self.strength[k] = max(self.strength[k], SENTENCE if hit.group() in SENTENCE_ENDS else CLAUSE)
+        self.size, self._text, self._strength = len(tokens), text, None
+
+    @property
+    def strength(self) -> np.ndarray:
+        """Weighed when first asked for: texts within the limits don't need it."""
+        if self._strength is None:
+            self._strength = self._weigh(np.minimum(np.frombuffer(self._text.encode("utf-32-le"), dtype=np.uint32), 0xFFFF))
+        return self._strength
+
+    def _weigh(self, codes: np.ndarray) -> np.ndarray:
+        out, n = np.zeros(len(self.token), dtype=np.int8), len(codes)
+        edge = np.diff(IS_SPACE[codes].astype(np.int8), prepend=0, append=0)
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        start, end = start[end < n], end[end < n]
+        # The place of a gap is the last one in it, so that white space stays with what it follows.
+        k = np.searchsorted(self.char, end, side="right") - 1
+        held = (k > 0) & (self.char[k] >= start)
+        start, end, k = start[held], end[held], k[held]
+        count = lambda c: (lambda sums: sums[end] - sums[start])(np.concatenate([[0], np.cumsum(codes == c)]))
+        lines = np.where((feeds := count(10)) > 0, feeds, count(13))
+        before = start - 1
+        for _ in range(3):
+            before = np.where((before >= 0) & IS_CLOSING[codes[before]], before - 1, before)
+        last = np.where(before >= 0, codes[before], 0)
+        kind = np.where(IS_SENTENCE[last], SENTENCE, np.where(IS_CLAUSE[last], CLAUSE, WORD))
+        out[k] = np.where(lines > 1, PARAGRAPH, np.where(lines == 1, LINE, kind))
+        wide = np.flatnonzero(IS_WIDE[codes]) + 1
+        wide = wide[wide < n]
+        k = np.minimum(np.searchsorted(self.char, wide), len(self.char) - 1)
+        hit = self.char[k] == wide
+        out[k[hit]] = np.maximum(out[k[hit]], np.where(IS_SENTENCE[codes[wide[hit] - 1]], SENTENCE, CLAUSE))
+        return out
 
 
 def atoms(places: Places, room: int) -> list[int]:
