@@ -35,10 +35,12 @@ def expanded_ports(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stable_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Ids of assets as if cables carried none: by name and by feature among all other assets of the dataset version."""
+    """Ids of assets as if cables carried none: by name among all assets of the dataset version, and by feature among those that are no cables."""
     own = views.assets(spark, d)
-    objects = own.select("object_id", F.col("dv").alias("dataset"), F.when(F.col("object_role") != "cable_path", F.col("asset_id")).alias("given_id"), F.col("feature_id").alias("feature"), F.col("source_name").alias("name"))
-    registry = own.select(F.col("dv").alias("dataset"), F.lit("name").alias("key_kind"), F.col("source_name").alias("key_value"), F.col("asset_id").alias("stable_id")).filter(F.pmod(F.length("key_value"), F.lit(2)) == 0)
+    given = F.col("object_role") != "cable_path"
+    objects = own.select("object_id", F.col("dv").alias("dataset"), F.when(given, F.col("asset_id")).alias("given_id"), F.col("feature_id").alias("feature"), F.col("source_name").alias("name"))
+    keys = F.array(F.struct(F.lit("name").alias("key_kind"), F.col("source_name").alias("key_value")), F.when(given, F.struct(F.lit("feature").alias("key_kind"), F.col("feature_id").alias("key_value"))))
+    registry = own.select(F.col("dv").alias("dataset"), F.inline(F.filter(keys, lambda k: k.isNotNull())), F.col("asset_id").alias("stable_id"))
     return identity.assign_ids(objects, registry, ["feature", "name"])
 
 
