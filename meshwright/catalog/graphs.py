@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import norm_id, trimmed
 from ..operators import graph as g
 from ..plans.staging import stage
-from . import views
+from . import maps, views
 from .tables import read
 from .views import sql_with
 
@@ -172,12 +172,13 @@ def graph_validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def collapsed_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Devices that confirmed candidates attach one after the other to the same line, as edges."""
+    """Devices that confirmed candidates attach one after the other to the same cable, that is to a line and those it runs on into, as edges."""
     rows = views.candidates(spark, d).filter("candidate_status = 'confirmed' and target_id is not null")
     parts = lambda k: F.nullif(F.regexp_extract("endpoint_id", "^endpoint:(.*):(start|inline|end)$", k), F.lit(""))
     place = F.when(parts(2) == "start", 0).when(parts(2) == "inline", 1).otherwise(2)
     attached = rows.select(F.col("dv").alias("scope"), parts(1).alias("line"), place.alias("place"), F.col("target_id").alias("device"))
-    joints = spark.createDataFrame([], "scope string, a string, b string")  # these tables hold no joints of lines
+    end = lambda c, k: F.regexp_extract(c, "^(.*):(start|end)$", k)
+    joints = maps.continuations(spark, d).select("scope", end("first_end", 1).alias("a"), end("first_end", 2).alias("a_end"), end("second_end", 1).alias("b"), end("second_end", 2).alias("b_end"))
     return g.collapse(attached, joints).select(F.col("scope").alias("dv"), F.col("a").alias("first_id"), F.col("b").alias("second_id"), F.col("cable").alias("line_id"))
 
 

@@ -130,11 +130,16 @@ def inline_devices(spark: SparkSession, d: str) -> DataFrame:
     return met.filter((F.col("to_start") > INLINE_MARGIN) & (F.col("to_end") > INLINE_MARGIN)).select("line_id", F.col("point_id").alias("geometry_id"), F.round("distance", 5).alias("distance"), F.round("measure", 3).alias("measure"))
 
 
-def endpoint_continuations(spark: SparkSession, d: str) -> DataFrame:
-    """Ends of two lines that run on into each other, no device being near either."""
+def continuations(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of ends as ``end_pairs`` gives them, no device being near either."""
     ends = g.line_ends(_lines(spark, d)).withColumn("left_id", F.concat_ws(":", F.lit("endpoint"), "line_id", "role"))
     taken = _end_pairs(spark, d).select("scope", "left_id").distinct()
-    return g.end_pairs(ends.join(taken, ["scope", "left_id"], "left_anti"), SEARCH_METRES, 30.0).select("first_end", "second_end", F.round("distance", 5).alias("distance"), F.round("deviation", 4).alias("deviation"))
+    return g.end_pairs(ends.join(taken, ["scope", "left_id"], "left_anti"), SEARCH_METRES, 30.0)
+
+
+def endpoint_continuations(spark: SparkSession, d: str) -> DataFrame:
+    """Ends of two lines that run on into each other, no device being near either."""
+    return continuations(spark, d).select("first_end", "second_end", F.round("distance", 5).alias("distance"), F.round("deviation", 4).alias("deviation"))
 
 
 def nearest_junction(spark: SparkSession, d: str) -> DataFrame:

@@ -232,20 +232,46 @@ def collapse(attached: DataFrame, joints: DataFrame, block_rows: int = BLOCK_ROW
     """(scope, a, b, cable, n_lines): devices that follow each other along a cable, as direct edges.
 
     ``attached`` (scope, line, place, device) says what a line meets, in order
-    of ``place``; ``joints`` (scope, a, b) which lines run on into each other
-    and so make one cable, named by its least line. Each pair of devices has
-    one edge, by the cable of fewest lines, then of the least name. Devices of
-    a cable are linked one to the next, not each to all.
+    of ``place`` from its start; ``joints`` (scope, a, b, a_end, b_end) which
+    ends (``start`` or ``end``) of two lines run on into each other; without
+    a_end and b_end the end of a runs into the start of b. Lines joined make
+    one cable, named by its least line. Behind the last device of a line comes
+    the first one that is met across a joint, through lines without devices if
+    need be; where a cable forks, the first one of each branch. Each pair of
+    devices has one edge, by the cable of fewest lines, then of the least name.
+    Devices of a cable are linked one to the next, not each to all.
     """
+    if "a_end" not in joints.columns:
+        joints = joints.withColumn("a_end", F.lit("end")).withColumn("b_end", F.lit("start"))
+    joints = stage(joints.select("scope", "a", "a_end", "b", "b_end").dropna())
     cables = components(joints, block_rows).withColumnRenamed("node", "line").withColumnRenamed("component", "cable")
-    met = attached.filter("line is not null and device is not null").join(cables, ["scope", "line"], "left").withColumn("cable", F.coalesce("cable", "line"))
-    order = Window.partitionBy("scope", "cable").orderBy("line", "place", "device")
-    following = met.withColumn("next", F.lead("device").over(order)).filter("next is not null and next != device")
+    met = stage(attached.filter("line is not null and device is not null").join(cables, ["scope", "line"], "left").withColumn("cable", F.coalesce("cable", "line")))
+    order = Window.partitionBy("scope", "line").orderBy("place", "device")
+    following = met.withColumn("next", F.lead("device").over(order)).select("scope", "cable", "device", "next").unionByName(_across(met, joints)).filter("next is not null and next != device")
     sizes = met.groupBy("scope", "cable").agg(F.count_distinct("line").alias("n_lines"))
     pairs = following.join(sizes, ["scope", "cable"]).groupBy("scope", F.least("device", "next").alias("a"), F.greatest("device", "next").alias("b")).agg(F.min(F.struct("n_lines", "cable")).alias("m"))
     return pairs.select("scope", "a", "b", "m.cable", "m.n_lines")
 
 
+def _across(met: DataFrame, joints: DataFrame) -> DataFrame:
+    """(scope, cable, device, next): the outermost device at an end of a line, and each that is met first beyond it; a round for each line without devices between."""
+    there = [F.struct(F.col(x).alias("line"), F.col(f"{x}_end").alias("side"), F.col(y).alias("to"), F.col(f"{y}_end").alias("to_side")) for x, y in (("a", "b"), ("b", "a"))]
+    over = stage(joints.select("scope", F.inline(F.array(*there))).distinct())
+    place = F.struct("place", "device")
+    outer = met.join(over.select("scope", "line").distinct(), ["scope", "line"], "left_semi").groupBy("scope", "cable", "line").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    sides = [F.struct(F.lit(s).alias("side"), F.col(f"{c}.device").alias("device")) for s, c in (("start", "low"), ("end", "high"))]
+    tips = stage(outer.select("scope", "cable", "line", F.inline(F.array(*sides))))
+    met_at = tips.select("scope", "line", "side", F.col("device").alias("next"))
+    step = lambda rows: rows.join(over, ["scope", "line", "side"]).select("scope", "cable", "origin", "device", F.col("to").alias("line"), F.col("to_side").alias("side")).distinct()
+    front = stage(step(tips.withColumn("origin", F.struct("line", "side"))))
+    seen = front
+    while front.take(1):
+        bare = front.join(met_at, ["scope", "line"], "left_anti").withColumn("side", F.when(F.col("side") == "start", "end").otherwise("start"))
+        front = stage(step(bare).join(seen.select("scope", "origin", "line", "side"), ["scope", "origin", "line", "side"], "left_anti"))
+        seen = stage(seen.unionByName(front))
+    return seen.join(met_at, ["scope", "line", "side"]).select("scope", "cable", "device", "next")
+
+
 def within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The induced subgraph: edges (scope, a, b, ...) with both ends among nodes (scope, node)."""
     for end in ("a", "b"):

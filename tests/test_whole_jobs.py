@@ -1,4 +1,5 @@
-from meshwright.catalog import records
+from meshwright.catalog import graphs, records
+from meshwright.operators import graph
 
 
 def _objects(spark, folder, rows):
@@ -18,3 +19,22 @@ def test_the_registry_holds_names_of_any_length_and_features(spark, tmp_path):
     found = {r["object_id"]: (r["stable_id"], r["status"]) for r in records.stable_ids(spark, str(tmp_path)).collect()}
     assert found["1"] == ("c1", "registry") and found["2"] == ("c2", "registry") and found["3"] == found["4"] == (None, "conflict")
     assert found["5"] == ("a5", "registry") and found["6"] == ("a5", "given") and found["7"][1] == "made"
+
+
+def test_devices_follow_each_other_along_joined_lines(spark):
+    attached = spark.createDataFrame([("s", "z1", 0, "p"), ("s", "m3", 0, "q"), ("s", "m3", 2, "r"), ("s", "k4", 1, "t")], "scope string, line string, place int, device string")
+    joints = spark.createDataFrame([("s", "z1", "end", "a2", "end"), ("s", "a2", "start", "m3", "end"), ("s", "k4", "start", "z1", "end")], "scope string, a string, a_end string, b string, b_end string")
+    found = {tuple(r) for r in graph.collapse(attached, joints).collect()}
+    assert found == {("s", "p", "r", "a2", 3), ("s", "q", "r", "a2", 3), ("s", "p", "t", "a2", 3)}  # across a2, which has no device; t and r lie on two branches
+
+
+def test_collapsed_edges_reads_the_joints(spark, tmp_path):
+    _objects(spark, tmp_path, [])
+    shape = "source_geometry_id string, dataset_version_id string, source_feature_id string, geometry_type string, valid boolean, coordinates string, geometry string, received_at timestamp"
+    lines = [(k, "d", k, "linestring", True, c, None, None) for k, c in (("g1", "[[107.0,-6.0],[107.001,-6.0]]"), ("g2", "[[107.00101,-6.0],[107.002,-6.0]]"))]
+    spark.createDataFrame(lines, shape).write.parquet(f"{tmp_path}/source_geometries.parquet")
+    texts = ["candidate_id", "source_endpoint_id", "target_asset_id", "candidate_status", "dataset_version_id", "site_id", "candidate_type", "network_family", "proposal_status"]
+    schema = ", ".join(f"{c} string" for c in texts) + ", score double, distance_meters double, received_at timestamp"
+    rows = [("c1", "endpoint:g1:start", "x", "confirmed", "d", *[None] * 7), ("c2", "endpoint:g2:end", "y", "confirmed", "d", *[None] * 7)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/topology_candidates.parquet")
+    assert [tuple(r) for r in graphs.collapsed_edges(spark, str(tmp_path)).collect()] == [("d", "x", "y", "g1")]
