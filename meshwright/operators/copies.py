@@ -7,11 +7,12 @@ field differences, rows without a partner are missing on the other side.
 
 Where: cancelling is one aggregation on (key, hash of the row), with partial
 sums before the shuffle. Keys that keep at most one row a side, nearly all, are
-paired in the JVM; others by the Hungarian method in tasks of one key each. A
-key with more than ``exact_rows`` rows left on a side is put in order of its
-canonical rows across the cluster and cut into blocks of that size, each paired
-exactly: no task holds more, no row is dropped, but the total over a key of that
-size may exceed the least.
+paired in the JVM; others by the Hungarian method in tasks of one key each. Up
+to ``exact_rows`` rows a side it works on the table of all costs; beyond that
+costs are computed a row at a time, from the fields as numbers, so memory grows
+with the rows left of a key and not with their pairs. The total is the least for
+every key, whatever its size; what is left of one key has to fit into a task,
+and the time grows faster than the rows.
 
 Defined results: a field that is null (or absent) equals one that is absent;
 numeric fields with a tolerance differ from it on. Rows without a key have the
@@ -26,7 +27,7 @@ import json
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
@@ -99,6 +100,37 @@ def json_leaves(column: str, root: str) -> Column:
 # --- pairing ----------------------------------------------------------------
 
 
+def _augment(i: int, row, u: np.ndarray, v: np.ndarray, match: np.ndarray) -> None:
+    """Give row i (from 1) a column by the shortest augmenting path; ``row`` gives the costs of a row (from 0)."""
+    m = len(v) - 1
+    match[0], j = i, 0
+    least, way, used = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=np.int64), np.zeros(m + 1, dtype=bool)
+    while True:
+        used[j] = True
+        at = match[j]
+        now = row(at - 1) - u[at] - v[1:]
+        better = ~used[1:] & (now < least[1:])
+        least[1:][better], way[1:][better] = now[better], j
+        free = np.where(used, np.inf, least)
+        k = int(np.argmin(free[1:])) + 1
+        delta = free[k]
+        u[match[used]] += delta
+        v[used] -= delta
+        least[~used] -= delta
+        j = k
+        if match[j] == 0:
+            break
+    while j:
+        match[j], j = match[way[j]], way[j]
+
+
+def _columns(n: int, match: np.ndarray) -> np.ndarray:
+    out = np.full(n, -1)
+    taken = np.flatnonzero(match[1:])
+    out[match[1:][taken] - 1] = taken
+    return out
+
+
 def assign(cost: np.ndarray) -> np.ndarray:
     """For each row its column, -1 for none, at the least total cost (Hungarian method); any shape."""
     if cost.shape[0] > cost.shape[1]:
@@ -108,30 +140,25 @@ def assign(cost: np.ndarray) -> np.ndarray:
     n, m = cost.shape
     u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, dtype=np.int64)
     for i in range(1, n + 1):
-        match[0], j = i, 0
-        least, way, used = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=np.int64), np.zeros(m + 1, dtype=bool)
-        while True:
-            used[j] = True
-            row = match[j]
-            now = cost[row - 1] - u[row] - v[1:]
-            better = ~used[1:] & (now < least[1:])
-            least[1:][better], way[1:][better] = now[better], j
-            free = np.where(used, np.inf, least)
-            k = int(np.argmin(free[1:])) + 1
-            delta = free[k]
-            u[match[used]] += delta
-            v[used] -= delta
-            least[~used] -= delta
-            j = k
-            if match[j] == 0:
-                break
-        while j:
-            match[j], j = match[way[j]], way[j]
-    out = np.full(n, -1)
-    for j in range(1, m + 1):
-        if match[j]:
-            out[match[j] - 1] = j - 1
-    return out
+        _augment(i, cost.__getitem__, u, v, match)
+    return _columns(n, match)
+
+
+def assign_by_rows(n: int, m: int, row) -> np.ndarray:
+    """``assign`` for n <= m without the table of costs: ``row`` gives those of a row. Rows that find a free column at their least cost take it, the others are given one by augmenting paths."""
+    u, v, match, waiting = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, dtype=np.int64), []
+    for i in range(1, n + 1):
+        cost = row(i - 1)
+        u[i] = cost.min()
+        free = (cost == u[i]) & (match[1:] == 0)
+        j = int(np.argmax(free))
+        if free[j]:
+            match[j + 1] = i
+        else:
+            waiting.append(i)
+    for i in waiting:
+        _augment(i, row, u, v, match)
+    return _columns(n, match)
 
 
 def _differ(x: str | None, y: str | None, tolerance: float | None) -> bool:
@@ -142,20 +169,35 @@ def _differ(x: str | None, y: str | None, tolerance: float | None) -> bool:
     return abs(float(x) - float(y)) >= tolerance * (1 - 1e-6)
 
 
-def pair_rows(left: list[dict], right: list[dict], tolerances: dict[str, float]) -> list[tuple[int, int]]:
+def pair_rows(left: list[dict], right: list[dict], tolerances: dict[str, float], table_rows: int = EXACT_ROWS) -> list[tuple[int, int]]:
     """Pairs of positions (-1: no partner) that differ in the fewest fields."""
     order = lambda rows: sorted(range(len(rows)), key=lambda i: sorted(rows[i].items()))
     a, b = order(left), order(right)
-    cost = np.zeros((len(a), len(b)))
-    for f in sorted({k for r in (*left, *right) for k in r}):
-        if f in tolerances:
-            x, y = (np.array([float(rows[i].get(f, "nan")) for i in at]) for rows, at in ((left, a), (right, b)))
-            away = np.abs(x[:, None] - y[None, :])
-            cost += np.where(np.isnan(x)[:, None] & np.isnan(y)[None, :], False, ~(away < tolerances[f] * (1 - 1e-6)))
-        else:
-            codes, _ = pd.factorize(np.array([rows[i].get(f) for rows, at in ((left, a), (right, b)) for i in at], dtype=object))
-            cost += codes[: len(a), None] != codes[None, len(a) :]
-    to = assign(cost) if len(a) and len(b) else np.full(len(a), -1)
+    fields = sorted({k for r in (*left, *right) for k in r})
+    numbers = [(tolerances[f], *(np.array([float(rows[i].get(f, "nan")) for i in at]) for rows, at in ((left, a), (right, b)))) for f in fields if f in tolerances]
+    codes = [pd.factorize(np.array([rows[i].get(f) for rows, at in ((left, a), (right, b)) for i in at], dtype=object))[0].astype(np.int32) for f in fields if f not in tolerances]
+
+    def costs(mine: slice, turned: bool) -> np.ndarray:
+        """Differing fields of some rows (columns, if turned) with all on the other side."""
+        cost = 0.0
+        for t, x, y in numbers:
+            x, y = (y, x) if turned else (x, y)
+            cost = cost + np.where(np.isnan(x[mine])[:, None] & np.isnan(y)[None, :], False, ~(np.abs(x[mine][:, None] - y[None, :]) < t * (1 - 1e-6)))
+        for c in codes:
+            x, y = (c[len(a) :], c[: len(a)]) if turned else (c[: len(a)], c[len(a) :])
+            cost = cost + (x[mine][:, None] != y[None, :])
+        return cost
+
+    if not (len(a) and len(b) and fields):
+        to = np.full(len(a), -1)
+        to[: min(len(a), len(b))] = np.arange(min(len(a), len(b)))
+    elif max(len(a), len(b)) <= table_rows:
+        to = assign(costs(slice(None), False))
+    elif len(a) <= len(b):
+        to = assign_by_rows(len(a), len(b), lambda i: costs(slice(i, i + 1), False)[0])
+    else:
+        back, to = assign_by_rows(len(b), len(a), lambda i: costs(slice(i, i + 1), True)[0]), np.full(len(a), -1)
+        to[back] = np.arange(len(back))
     taken = set(to.tolist())
     return [(a[i], b[j] if j >= 0 else -1) for i, j in enumerate(to)] + [(-1, b[j]) for j in range(len(b)) if j not in taken]
 
@@ -196,26 +238,17 @@ def compare_copies(rows: DataFrame, sides: tuple[str, str], tolerances: dict[str
     ).otherwise(F.transform(fields, lambda f: F.struct(F.lit("differs").alias("difference"), f.alias("field_name"))))
     result = plain.select(*key, F.inline(found))
 
-    several = per_key.filter("nl > 1 or nr > 1").select(*key, (F.greatest("nl", "nr") > exact_rows).alias("large"))
-    again = stage(left.join(several, key).withColumn("n", F.explode(F.expr("sequence(1, cast(greatest(l, r) as int))"))).withColumn("side", F.when(F.col("l") > 0, 1).otherwise(2)))
+    several = per_key.filter("nl > 1 or nr > 1").select(*key)
+    again = stage(left.join(several, key).withColumn("n", F.explode(F.expr("sequence(1, cast(greatest(l, r) as int))"))).select(*key, F.when(F.col("l") > 0, 1).otherwise(2).alias("side"), "vals"))
     if not again.take(1):
         return result
-    # Blocks of large keys: the rank of a row within its key and side, from its place in the sorted partitions.
-    text = F.to_json(F.array_sort(F.map_entries("vals")))
-    ordered = stage(again.filter("large").withColumn("text", text).repartitionByRange(*key, "side", "text", "n").sortWithinPartitions(*key, "side", "text", "n").withColumn("m", F.monotonically_increasing_id()))
-    places = ordered.groupBy(*key, "side", F.shiftright("m", 33).alias("p")).agg(F.min("m").alias("start"), F.count(F.lit(1)).alias("rows"))
-    before = F.coalesce(F.sum("rows").over(Window.partitionBy(*key, "side").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = ordered.withColumn("p", F.shiftright("m", 33)).join(places.withColumn("before", before).drop("rows"), [*key, "side", "p"])
-    blocks = again.filter("not large").select(*key, "side", "vals", F.lit(0).cast("long").alias("block")).unionByName(
-        ranked.select(*key, "side", "vals", F.floor((F.col("m") - F.col("start") + F.col("before")) / exact_rows).alias("block"))
-    )
 
     def pairs(table: pa.Table) -> pa.Table:
         rows = [dict(v) for v in table.column("vals").to_pylist()]
         side = table.column("side").to_pylist()
         a, b = ([r for r, s in zip(rows, side) if s == k] for k in (1, 2))
         out = []
-        for i, j in pair_rows(a, b, tolerances):
+        for i, j in pair_rows(a, b, tolerances, exact_rows):
             if i < 0 or j < 0:
                 out.append((f"missing_in_{one if i < 0 else two}", ""))
             else:
@@ -223,4 +256,4 @@ def compare_copies(rows: DataFrame, sides: tuple[str, str], tolerances: dict[str
         head = [table.column(c)[0].as_py() for c in key]
         return pa.table([pa.array([h] * len(out), pa.string()) for h in head] + [pa.array([o[k] for o in out], pa.string()) for k in (0, 1)], names=[*key, "difference", "field_name"])
 
-    return result.unionByName(blocks.groupBy(*key, "block").applyInArrow(pairs, "table_name string, record_id string, difference string, field_name string"))
+    return result.unionByName(again.groupBy(*key).applyInArrow(pairs, "table_name string, record_id string, difference string, field_name string"))

@@ -1,5 +1,7 @@
+import numpy as np
+
 from meshwright.catalog import graphs, records
-from meshwright.operators import graph
+from meshwright.operators import copies, graph
 
 
 def _objects(spark, folder, rows):
@@ -38,3 +40,20 @@ def test_collapsed_edges_reads_the_joints(spark, tmp_path):
     rows = [("c1", "endpoint:g1:start", "x", "confirmed", "d", *[None] * 7), ("c2", "endpoint:g2:end", "y", "confirmed", "d", *[None] * 7)]
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/topology_candidates.parquet")
     assert [tuple(r) for r in graphs.collapsed_edges(spark, str(tmp_path)).collect()] == [("d", "x", "y", "g1")]
+
+
+def test_a_large_key_is_paired_at_the_least_cost(spark):
+    row = lambda i, d: {"a": f"a{i}", "b": f"b{i % 7}", "c": f"c{i % 11}", "d": d}
+    rows = [("t", "hot", "p", row(i, "old")) for i in range(120)] + [("t", "hot", "j", row(i, "new")) for i in range(0, 120, 2)]
+    df = spark.createDataFrame(rows, "table_name string, record_id string, side string, vals map<string,string>")
+    out = [tuple(r)[2:] for r in copies.compare_copies(df, ("p", "j"), exact_rows=16).collect()]
+    assert sorted(out) == [("differs", "d")] * 60 + [("missing_in_j", "")] * 60
+
+
+def test_both_ways_of_pairing_cost_the_same():
+    rnd = np.random.default_rng(3)
+    for n, m in ((1, 1), (9, 9), (20, 33), (33, 20), (40, 40)):
+        left, right = ([{f: str(rnd.integers(3)) for f in "abcd"} | {"x": str(rnd.random())} for _ in range(k)] for k in (n, m))
+        cost = lambda rows: sum(sum(left[i].get(f) != right[j].get(f) for f in "abcd") + (abs(float(left[i]["x"]) - float(right[j]["x"])) >= 0.3) for i, j in rows if i >= 0 and j >= 0)
+        one, two = (copies.pair_rows(left, right, {"x": 0.3}, k) for k in (100, 0))
+        assert cost(one) == cost(two) and len(one) == len(two) == max(n, m)
