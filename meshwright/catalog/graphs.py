@@ -68,11 +68,20 @@ def trace_downstream(spark: SparkSession, d: str) -> DataFrame:
     return g.reach(g.directed_arcs(edges), _roots(edges).select("scope", "node")).select(F.col("scope").alias("dv"), F.col("node").alias("asset_id"), "hops")
 
 
-def trace_upstream(spark: SparkSession, d: str) -> DataFrame:
-    """What leads to the roots along directed edges, at most 4 hops."""
+def _upstream(spark: SparkSession, d: str, **limit: int) -> DataFrame:
     edges = stage(_edges(spark, d))
     back = g.directed_arcs(edges).select("scope", F.col("b").alias("a"), F.col("a").alias("b"))
-    return g.reach(back, _roots(edges).select("scope", "node"), most=4).select(F.col("scope").alias("dv"), F.col("node").alias("asset_id"), "hops")
+    return g.reach(back, _roots(edges).select("scope", "node"), **limit).select(F.col("scope").alias("dv"), F.col("node").alias("asset_id"), "hops")
+
+
+def trace_upstream(spark: SparkSession, d: str) -> DataFrame:
+    """What leads to the roots along directed edges."""
+    return _upstream(spark, d)
+
+
+def trace_upstream_near(spark: SparkSession, d: str) -> DataFrame:
+    """What leads to the roots along directed edges in at most 4 hops."""
+    return _upstream(spark, d, most=4)
 
 
 def trace_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -191,7 +200,7 @@ def relation_delta(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    graph_degrees, graph_isolated, graph_components, graph_component_summary, graph_roots, trace_hops, trace_downstream, trace_upstream, trace_paths, trace_tainted, trace_reasons, impact_failure, impact_groups,
+    graph_degrees, graph_isolated, graph_components, graph_component_summary, graph_roots, trace_hops, trace_downstream, trace_upstream, trace_upstream_near, trace_paths, trace_tainted, trace_reasons, impact_failure, impact_groups,
     graph_directions, graph_neighbours, graph_subgraph, relation_dedupe, graph_validation, collapsed_edges, relation_delta,
 )}
 
@@ -238,3 +247,4 @@ SQL = {
       n as (select *, lead(device) over (partition by dv, line order by place, device) as nxt from a) select dv, least(device, nxt) as first_id, greatest(device, nxt) as second_id, min(line) as line_id from n where nxt is not null and nxt <> device group by 1, 2, 3""",
     "relation_delta": "with r as (select distinct lower(trim(store)) as store, coalesce(nullif(lower(trim(dataset_version_id, ' ' || chr(9) || chr(10) || chr(160) || chr(8195))), ''), '') as dv, nullif(lower(trim(edge_id, ' ' || chr(9) || chr(10) || chr(160) || chr(8195))), '') as edge_id from graph_edges), h as (select dv, edge_id, bool_or(store = 'postgres') as p, bool_or(store = 'json') as j from r group by all) select dv, case when p and j then 'retained' when j then 'added' else 'removed' end as change, count(*) as n_edges from h group by all",
 }
+SQL["trace_upstream_near"] = SQL["trace_upstream"]  # this SQL stops at 4 hops

@@ -57,3 +57,13 @@ def test_both_ways_of_pairing_cost_the_same():
         cost = lambda rows: sum(sum(left[i].get(f) != right[j].get(f) for f in "abcd") + (abs(float(left[i]["x"]) - float(right[j]["x"])) >= 0.3) for i, j in rows if i >= 0 and j >= 0)
         one, two = (copies.pair_rows(left, right, {"x": 0.3}, k) for k in (100, 0))
         assert cost(one) == cost(two) and len(one) == len(two) == max(n, m)
+
+
+def test_the_upstream_trace_has_no_limit(spark, tmp_path):
+    texts = ["store", "edge_id", "source_node_id", "target_node_id", "verification_status", "direction", "dataset_version_id", "relation_id", "network_family"]
+    ends = [(f"n{i + 1}", f"n{i}") for i in range(6)] + [("n0", "x"), ("n0", "y")]  # n0 is the root
+    rows = [("postgres", f"e{i}", a, b, "confirmed", "source_to_target", "d", *[None] * 4) for i, (a, b) in enumerate(ends)]
+    spark.createDataFrame(rows, ", ".join(f"{c} string" for c in texts) + ", length_meters double, received_at timestamp").write.parquet(f"{tmp_path}/graph_edges.parquet")
+    hops = lambda query: {r["asset_id"]: r["hops"] for r in query(spark, str(tmp_path)).collect()}
+    assert hops(graphs.trace_upstream) == {f"n{i}": i for i in range(7)}
+    assert hops(graphs.trace_upstream_near) == {f"n{i}": i for i in range(5)}
