@@ -14,6 +14,7 @@ at 0 hops.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from ..plans.lookups import lookup
 from ..plans.staging import partitions_for, stage
 
 BLOCK_ROWS = 500_000
+#: Levels after which those reached so far are written as one table, so that plans stay small.
+LEVELS_HELD = 32
 _SEP = "\x1f"
 
 
@@ -55,7 +58,7 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 # --- walking whole scopes in tasks --------------------------------------------
 
 
-def _levels(tails: np.ndarray, heads: np.ndarray, starts: np.ndarray, n: int, most: int) -> np.ndarray:
+def _levels(tails: np.ndarray, heads: np.ndarray, starts: np.ndarray, n: int, most: int | None) -> np.ndarray:
     """Hops of each of n nodes from the starts, -1 for unreached."""
     order = np.argsort(tails, kind="stable")
     heads = heads[order]
@@ -63,7 +66,7 @@ def _levels(tails: np.ndarray, heads: np.ndarray, starts: np.ndarray, n: int, mo
     hops = np.full(n, -1)
     hops[starts] = 0
     frontier, step = np.unique(starts), 0
-    while len(frontier) and step < most:
+    while len(frontier) and (most is None or step < most):
         step += 1
         count = first[frontier + 1] - first[frontier]
         at = np.repeat(first[frontier] - (np.cumsum(count) - count), count) + np.arange(count.sum())
@@ -110,8 +113,8 @@ def _split(rows: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame | Non
     return rows.join(few, "scope", "left_anti"), rows.join(few, "scope", "left_semi"), total
 
 
-def reach(arcs: DataFrame, starts: DataFrame, most: int = 10_000, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(scope, node, hops): what can be reached from any start (scope, node) of its scope along arcs (scope, a, b), and in how few hops."""
+def reach(arcs: DataFrame, starts: DataFrame, most: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(scope, node, hops): what can be reached from any start (scope, node) of its scope along arcs (scope, a, b), and in how few hops; only up to ``most`` hops, if given."""
     arcs = arcs.filter("a is not null and b is not null").select("scope", "a", "b").distinct()
     marked = arcs.unionByName(starts.filter("node is not null").select("scope", F.col("node").alias("a"), F.lit(None).cast("string").alias("b")).distinct())
     small, large, total = _split(stage(marked), block_rows)
@@ -133,13 +136,15 @@ def reach(arcs: DataFrame, starts: DataFrame, most: int = 10_000, block_rows: in
     paths = stage(large.filter("b is not null"))
     frontier = stage(large.filter("b is null").select("scope", F.col("a").alias("node"), F.lit(0).alias("hops")))
     seen = frontier
-    for step in range(1, most + 1):
+    for step in itertools.count(1) if most is None else range(1, most + 1):
         ahead = lookup(paths, frontier.select("scope", F.col("node").alias("a")), ["scope", "a"], "left_semi")
         ahead = ahead.select("scope", F.col("b").alias("node")).distinct()
         frontier = stage(ahead.join(seen, ["scope", "node"], "left_anti").withColumn("hops", F.lit(step)))
         if not frontier.take(1):
             break
         seen = seen.unionByName(frontier)
+        if step % LEVELS_HELD == 0:
+            seen = stage(seen)
     return found.unionByName(seen)
 
 
@@ -218,7 +223,7 @@ def impact(arcs: DataFrame, starts: DataFrame, failed: DataFrame, block_rows: in
     return before.select("scope", "node").join(after.select("scope", "node"), ["scope", "node"], "left_anti").join(failed, ["scope", "node"], "left_anti")
 
 
-def shortest_paths(arcs: DataFrame, starts: DataFrame, most: int = 10_000, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def shortest_paths(arcs: DataFrame, starts: DataFrame, most: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(scope, node, hops, before): the fewest hops from the starts, and the least node one hop before on such a path (null at a start)."""
     arcs = stage(arcs.filter("a is not null and b is not null").select("scope", "a", "b").distinct())
     hops = stage(reach(arcs, starts, most, block_rows))

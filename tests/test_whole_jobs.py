@@ -67,3 +67,17 @@ def test_the_upstream_trace_has_no_limit(spark, tmp_path):
     hops = lambda query: {r["asset_id"]: r["hops"] for r in query(spark, str(tmp_path)).collect()}
     assert hops(graphs.trace_upstream) == {f"n{i}": i for i in range(7)}
     assert hops(graphs.trace_upstream_near) == {f"n{i}": i for i in range(5)}
+
+
+def test_reach_goes_on_beyond_10000_hops(spark):
+    arcs = spark.range(10_050).selectExpr("'s' as scope", "cast(id as string) as a", "cast(id + 1 as string) as b")
+    start = spark.createDataFrame([("s", "0")], "scope string, node string")
+    assert graph.reach(arcs, start).agg({"hops": "max"}).first()[0] == 10_050
+    assert graph.reach(arcs, start, 7).count() == 8
+
+
+def test_long_scopes_are_walked_to_the_end_across_the_cluster(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LEVELS_HELD", 2)
+    arcs = spark.range(5).selectExpr("'s' as scope", "cast(id as string) as a", "cast(id + 1 as string) as b")
+    start = spark.createDataFrame([("s", "0")], "scope string, node string")
+    assert {r["node"]: r["hops"] for r in graph.reach(arcs, start, block_rows=3).collect()} == {str(i): i for i in range(6)}
