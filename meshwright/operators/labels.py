@@ -6,7 +6,8 @@ line by line against device by device. A run that names more than one device
 stands for none of them; of names found at overlapping places the longer wins.
 
 Defined results: names without words match nothing; a line that names the same
-device twice has it once, at its first place.
+device twice has it once, at its first place. Runs are as long as the longest
+name by which a device of the scope may be called.
 """
 
 from __future__ import annotations
@@ -15,12 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import label_aliases, label_tokens, token_text
+from ..plans.staging import stage
 
-#: Longest run of words that is looked up.
-MOST_WORDS = 6
 
-
-def runs(words: str = "words", most: int = MOST_WORDS):
+def runs(most, words: str = "words"):
     """array<struct(at, n, run)>: all runs of up to ``most`` words."""
     one = lambda i, n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice(words, i + 1, n), " ").alias("run"))
     places = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)))
@@ -38,9 +37,10 @@ def match_labels(lines: DataFrame, devices: DataFrame, extra_words: int = 0) ->
     names = label_aliases(F.col("words"), F.col("t"))
     if extra_words:
         names = F.array_union(names, F.when(F.size("words") > extra_words, F.array(F.slice("words", -extra_words, extra_words))).otherwise(F.array().cast("array<array<string>>")))
-    called = own.select("scope", "device_id", F.explode(F.transform(names, lambda a: F.array_join(a, " "))).alias("run"))
+    called = stage(own.select("scope", "device_id", F.explode(F.transform(names, lambda a: F.array_join(a, " "))).alias("run")))
+    longest = called.groupBy("scope").agg(F.max(F.size(F.split("run", " "))).alias("longest"))
     known = called.groupBy("scope", "run").agg(F.min("device_id").alias("device_id"), F.max("device_id").alias("other")).filter("device_id = other").drop("other")
-    found = words(lines).select("scope", "line_id", F.inline(runs())).join(known, ["scope", "run"])
+    found = words(lines).join(longest, "scope").select("scope", "line_id", F.inline(runs(F.col("longest")))).join(known, ["scope", "run"])
     wider = Window.partitionBy("scope", "line_id")
     every = F.collect_list(F.struct("at", "n", "device_id")).over(wider)  # a name has few words
     inside = F.exists(every, lambda o: (o["at"] <= F.col("at")) & (o["at"] + o["n"] >= F.col("at") + F.col("n")) & (o["n"] > F.col("n")))

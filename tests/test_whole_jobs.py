@@ -1,7 +1,7 @@
 import numpy as np
 
 from meshwright.catalog import graphs, records
-from meshwright.operators import copies, graph
+from meshwright.operators import copies, graph, labels
 
 
 def _objects(spark, folder, rows):
@@ -81,3 +81,10 @@ def test_long_scopes_are_walked_to_the_end_across_the_cluster(spark, monkeypatch
     arcs = spark.range(5).selectExpr("'s' as scope", "cast(id as string) as a", "cast(id + 1 as string) as b")
     start = spark.createDataFrame([("s", "0")], "scope string, node string")
     assert {r["node"]: r["hops"] for r in graph.reach(arcs, start, block_rows=3).collect()} == {str(i): i for i in range(6)}
+
+
+def test_names_of_many_words_match_whole(spark):
+    names = "scope string, {} string, name string"
+    lines = spark.createDataFrame([("s", "l1", "to ab cd ef gh ij kl mn op end"), ("t", "l2", "ab cd")], names.format("line_id"))
+    devices = spark.createDataFrame([("s", "d1", "ab cd ef gh ij kl mn op"), ("s", "d2", "cd ef"), ("t", "d3", "ab cd")], names.format("device_id"))
+    assert {(r["line_id"], r["device_id"]) for r in labels.match_labels(lines, devices).collect()} == {("l1", "d1"), ("l2", "d3")}
