@@ -270,11 +270,17 @@ def lexicon(documents: DataFrame, ranks: dict[bytes, int], words: int = LEXICON_
 
 
 def encode(documents: DataFrame, vocabulary: str, words: int = LEXICON_WORDS, pattern: str = PATTERN) -> DataFrame:
-    """(doc_id, ids array<int>) of documents (doc_id, text); ``vocabulary`` is the path of a file of ranks, found on every machine."""
+    """(doc_id, ids array<int>) of documents (doc_id, text); ``vocabulary`` is the path of a file of ranks, found on every machine.
+
+    A doc_id counts once; of different texts under one id the one with the
+    least hash counts. Rows without an id stay apart by text: each of their
+    texts counts once.
+    """
     spark = documents.sparkSession
     documents = documents.select("doc_id", "text")
     if documents.groupBy("doc_id").count().filter("count > 1").take(1):  # never so in tables whose ids are unique
-        first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+        apart = F.when(F.col("doc_id").isNull(), F.sha2("text", 256))
+        first = Window.partitionBy("doc_id", apart).orderBy(F.xxhash64("text"))
         documents = documents.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
     file = os.path.join(tempfile.mkdtemp(), f"lexicon-{uuid.uuid4().hex}")
     lexicon(documents, load_ranks(vocabulary), words, pattern).save(file)
