@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 
 def first_deliveries(df: DataFrame, key: list[str], received: str) -> DataFrame:
-    """One row per ``key`` with the least ``received``; the other columns agree between deliveries.
+    """One whole row per ``key``: the one received first; of several received together the one of least content hash.
 
     Rows whose whole key is null stay apart by content (they merge only with
     rows equal in every other column), so they can't pile up in one group.
+    Rows without a time come last.
     """
-    rest = [c for c in df.columns if c not in (*key, received)]
-    apart = F.when(F.coalesce(*[F.col(c).cast("string") for c in key]).isNull(), F.xxhash64(*rest)) if rest else F.lit(None).cast("long")
-    return (
-        df.withColumn("_apart", apart)
-        .groupBy(*key, "_apart")
-        .agg(F.min(received).alias(received), *[F.min(c).alias(c) for c in rest])
-        .select(*df.columns)
-    )
+    rest = [f"`{c}`" for c in df.columns if c not in (*key, received)]
+    keys = [f"`{c}`" for c in key]
+    content = f"xxhash64({', '.join(rest)})" if rest else "0L"
+    apart = f"case when {' and '.join(f'{k} is null' for k in keys)} then {content} end"
+    # A row with none before it is the first. (A row number would sort all rows before the shuffle too, for the few that repeat.)
+    first = f"lag(true) over (partition by {', '.join([*keys, apart])} order by `{received}` asc nulls last, {content}) is null"
+    return df.select("*", F.expr(first).alias("_first")).filter("_first").drop("_first")
 
 
 def month_of(ts: str | Column) -> Column:
