@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lookups import lookup
+from ..plans.lookups import apart, lookup
 from ..plans.staging import partitions_for, stage
 
 BLOCK_ROWS = 500_000
@@ -106,11 +106,7 @@ def _split(rows: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame | Non
     total = rows.count()
     if total <= block_rows:
         return rows, None, total
-    large = [r["scope"] for r in rows.groupBy("scope").count().filter(F.col("count") > block_rows).select("scope").toLocalIterator()]
-    if not large:
-        return rows, None, total
-    few = F.broadcast(rows.sparkSession.createDataFrame([(s,) for s in large], "scope string"))  # at most total / block_rows
-    return rows.join(few, "scope", "left_anti"), rows.join(few, "scope", "left_semi"), total
+    return *apart(rows, "scope", block_rows), total
 
 
 def reach(arcs: DataFrame, starts: DataFrame, most: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lookups import HOT_ROWS, lookup
+from ..plans.lookups import HOT_ROWS, apart, lookup
 from ..plans.staging import partitions_for, stage
 
 BLOCK_ROWS = 250_000
@@ -166,13 +166,10 @@ def resolve(links: DataFrame, by: list[str], paths: bool = False, block_rows: in
     group = F.concat_ws(_SEP, *[F.coalesce(F.col(c), F.lit("")) for c in by])
     nodes = stage(links.filter("node is not null").select(group.alias("g"), "node", "parent").groupBy("g", "node").agg(F.min("parent").alias("parent")))
     rows = nodes.count()
-    large = [r["g"] for r in nodes.groupBy("g").count().filter(F.col("count") > block_rows).select("g").toLocalIterator()]
-    parts = []
-    if large:  # at most rows / block_rows of them
-        few = F.broadcast(nodes.sparkSession.createDataFrame([(g,) for g in large], "g string"))
-        parts = [_in_tasks(nodes.join(few, "g", "left_anti"), rows, block_rows, False, paths), _across(stage(nodes.join(few, "g", "left_semi")), block_rows, paths, hot_rows)]
-    else:
-        parts = [_in_tasks(nodes, rows, block_rows, False, paths)]
+    small, large = apart(nodes, "g", block_rows) if rows > block_rows else (nodes, None)
+    parts = [_in_tasks(small, rows, block_rows, False, paths)]
+    if large is not None:
+        parts.append(_across(stage(large), block_rows, paths, hot_rows))
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     split = F.split("g", _SEP, -1)
     return found.select(*[split[i].alias(c) for i, c in enumerate(by)], "node", "root", "level", *["path"] * paths)

@@ -15,18 +15,28 @@ BROADCAST_ROWS = 200_000
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only a session without
-    that setting (tests, one machine) gets a folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session on one
+    machine may go without that setting and gets a folder of its own; on a
+    cluster its absence is an error, as executors would not find each other's files.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        folder = "file://" + tempfile.mkdtemp(prefix="meshwright-")
-        spark.sparkContext.setCheckpointDir(folder)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder
+    if folder:
+        return folder
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="meshwright-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder; what is written there is deleted when the driver's JVM ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -36,7 +46,7 @@ def stage(df: DataFrame) -> DataFrame:
     planner the true size of the table.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = shared_path(spark, "stage")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
