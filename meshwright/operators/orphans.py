@@ -1,13 +1,18 @@
 """References to records that do not exist.
 
-Method: the parents' keys are range-partitioned and stored, range by range, as
-sorted arrays (a written table in the shared folder); batches of references are
-routed to their range through the directory of first keys and probed by binary
-search, all of a batch at once; the misses are aggregated.
+Method: the parents' keys are partitioned into ranges of their 64-bit hashes
+and stored, range by range, as arrays sorted by hash (a written table in the
+shared folder); batches of references meet the range they fall into and are
+probed by binary search, all of a batch at once, equal hashes being settled by
+the keys themselves; the misses are aggregated.
+
+Hashes are spread evenly and of one width however long a key is, so the range
+of a key is arithmetic: no bounds are sampled, and no directory of ranges passes
+through the driver or to the tasks.
 
 Skew: parents are unique, so ranges are even. A key that a third of all
-references name makes one range hot; its references are spread over as many
-groups as ``batch_rows`` asks for and the range's array goes to each of them.
+references names makes one range hot; its references are spread over as many
+groups as ``batch_rows`` asks for and the range's arrays go to each of them.
 No group holds more than about ``batch_rows`` references and one range.
 
 Defined results: a reference without a value is no reference; no scope equals
@@ -20,104 +25,76 @@ references pass through untouched, whatever their names.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import partitions_for, stage
+from ..plans.staging import BROADCAST_ROWS, partitions_for, stage
 
 #: Unit separator between the parts of a composed key.
 SEP = "\x1f"
 RANGE_ROWS = 65_536
 BATCH_ROWS = 131_072
-#: Entries of the broadcast directory (one per range, about 100 bytes each); ranges grow beyond it.
-DIRECTORY_ENTRIES = 200_000
 
 ALWAYS = -(2**63)
+NEVER = 2**63 - 1
 
 
-def _as_bytes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Texts as a fixed-width byte array, which numpy compares without Python objects."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return np.array(column.cast(pa.binary()).to_pylist() or [b""], dtype="S")[: len(column)]
-
-
-def sorted_ranges(parents: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """(block, first_key, keys, times): parents (key, available_at) as sorted arrays of bounded length."""
-    spark = parents.sparkSession
-    rows = parents.count()
-    each = max(range_rows, math.ceil(rows / DIRECTORY_ENTRIES))
-    unique = parents.select("key", F.coalesce(F.unix_micros("available_at"), F.lit(ALWAYS)).alias("t")).groupBy("key").agg(F.min("t").alias("t"))
-
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, held, n = TaskContext.get().partitionId(), 0, [], 0
-
-        def packed(table: pa.Table, number: int) -> pa.RecordBatch:
-            keys, times = table.column("key").combine_chunks(), table.column("t").combine_chunks()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + number]), pa.array([keys[0].as_py()]), pa.array([keys.to_pylist()], pa.list_(pa.string())), pa.array([times.to_numpy()], pa.list_(pa.int64()))],
-                ["block", "first_key", "keys", "times"],
-            )
-
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            while n >= each:
-                table = pa.Table.from_batches(held)
-                yield packed(table.slice(0, each), number)
-                number, held, n = number + 1, table.slice(each).to_batches(), n - each
-        if n:
-            yield packed(pa.Table.from_batches(held), number)
-
-    return stage(
-        unique.repartitionByRange(partitions_for(spark, rows, 4 * each), "key")
-        .sortWithinPartitions("key")
-        .mapInArrow(chunks, "block long, first_key string, keys array<string>, times array<long>")
-    )
+def _range_of(hashed: str, ranges: int) -> Column:
+    """The number of the range, of ``ranges`` equal ones, that a hash lies in."""
+    return F.expr(f"least(cast(floor((cast({hashed} as double) / 18446744073709551616D + 0.5D) * {ranges}) as bigint), {ranges - 1}L)")
+
+
+def sorted_ranges(parents: DataFrame, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, int]:
+    """(block, hashes, keys, times): parents (key, available_at) as arrays sorted by hash, of about ``range_rows`` each; and the number of ranges."""
+    unique = stage(parents.select("key", F.coalesce(F.unix_micros("available_at"), F.lit(ALWAYS)).alias("t")).groupBy("key").agg(F.min("t").alias("t")).selectExpr("xxhash64(key) as h", "key", "t"))
+    ranges = max(1, math.ceil(unique.count() / range_rows))
+    packed = unique.groupBy(_range_of("h", ranges).alias("block")).agg(F.expr("array_sort(collect_list(struct(h, key, t)))").alias("e"))
+    return stage(packed.selectExpr("block", "e.h as hashes", "e.key as keys", "e.t as times")), ranges
+
+
+def _search(hashes: np.ndarray, keys: pa.Array, wanted_hashes: np.ndarray, wanted: pa.Array) -> np.ndarray:
+    """Place of each wanted key, -1 where there is none."""
+    at, found = np.searchsorted(hashes, wanted_hashes), np.full(len(wanted_hashes), -1)
+    open_ = np.arange(len(wanted_hashes))
+    while len(open_):  # once, but where different keys have one hash
+        open_ = open_[at[open_] < len(hashes)]
+        open_ = open_[hashes[at[open_]] == wanted_hashes[open_]]
+        same = pc.equal(keys.take(pa.array(at[open_])), wanted.take(pa.array(open_))).to_numpy(zero_copy_only=False).astype(bool)
+        found[open_[same]] = at[open_[same]]
+        open_ = open_[~same]
+        at[open_] += 1
+    return found
 
 
 def find_orphans(references: DataFrame, parents: DataFrame, range_rows: int = RANGE_ROWS, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """The rows of ``references`` (ref_key, ref_at, any others) without a parent (key, available_at) in time."""
     spark = references.sparkSession
-    ranges = sorted_ranges(parents, range_rows)
-    directory = sorted((r["first_key"].encode(), r["block"]) for r in ranges.select("first_key", "block").toLocalIterator())
-    if not directory:
-        return references.filter(F.col("ref_key").isNotNull())
-    firsts, blocks = np.array([k for k, _ in directory], dtype="S"), np.array([b for _, b in directory])
-    shared = spark.sparkContext.broadcast((firsts, blocks))
+    stored, ranges = sorted_ranges(parents, range_rows)
     names = references.columns
     # Fields are carried under positions, so no name of theirs can clash with ours.
     carried = references.filter(F.col("ref_key").isNotNull()).select(*[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(names)], F.col("ref_key").alias("_k"), F.unix_micros("ref_at").alias("_t"))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts, blocks = shared.value
-        for batch in batches:
-            at = np.maximum(np.searchsorted(firsts, _as_bytes(batch.column("_k")), side="right") - 1, 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks[at] if batch.num_rows else np.array([], dtype=np.int64))], [*batch.schema.names, "_block"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema)
-    routed = stage(carried.mapInArrow(route, f"{schema}, _block long"))
-    # How many groups each range's references fill: at most one row per range, and only hot ranges are kept.
-    hot = routed.groupBy("_block").count().filter(F.col("count") > batch_rows).select("_block", F.ceil(F.col("count") / batch_rows).cast("int").alias("_n"))
-    spread = {r["_block"]: r["_n"] for r in hot.toLocalIterator()}
-    salts = F.coalesce(F.create_map(*[F.lit(x) for pair in spread.items() for x in pair])[F.col("_block")], F.lit(1)) if spread else F.lit(1)
-    salted = routed.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in carried.columns if c != "_k"]), salts).cast("int"))
-    copies = ranges.select(F.col("block").alias("_block"), "keys", "times").withColumn("_salt", F.explode(F.sequence(F.lit(0), (salts - 1).cast("int"))))
-
-    def probe(refs: pa.Table, ranges: pa.Table) -> pa.Table:
+    routed = stage(carried.withColumn("_h", F.expr("xxhash64(_k)")).withColumn("_block", _range_of("_h", ranges)))
+    total = routed.count()
+    # How many groups each hot range's references fill; never more such ranges than may be broadcast.
+    each = max(batch_rows, math.ceil(total / BROADCAST_ROWS))
+    hot = F.broadcast(routed.groupBy("_block").count().filter(F.col("count") > each).select("_block", F.ceil(F.col("count") / each).cast("int").alias("_n")))
+    parts = partitions_for(spark, total, each)
+    others = ", ".join(c for c in carried.columns if c != "_k")
+    salted = routed.join(hot, "_block", "left").withColumn("_salt", F.expr(f"cast(pmod(xxhash64({others}), coalesce(_n, 1)) as int)")).drop("_n").repartition(parts, "_block", "_salt")
+    copies = stored.withColumnRenamed("block", "_block").join(hot, "_block", "left").withColumn("_salt", F.expr("explode(sequence(0, coalesce(_n, 1) - 1))")).drop("_n").repartition(parts, "_block", "_salt")
+
+    def probe(refs: pa.Table, held: pa.Table) -> pa.Table:
         fields = refs.select([f"f{i}" for i in range(len(names))])
-        if not refs.num_rows or not ranges.num_rows:
+        if not refs.num_rows or not held.num_rows:
             return fields
-        keys, times = _as_bytes(ranges.column("keys").combine_chunks().flatten()), ranges.column("times").combine_chunks().flatten().to_numpy()
-        wanted = _as_bytes(refs.column("_k"))
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        since = np.asarray(refs.column("_t").to_pandas().fillna(2**63 - 1).to_numpy(), dtype=np.float64 if refs.column("_t").null_count else np.int64)
-        return fields.filter(pa.array((keys[at] != wanted) | (times[at] > since)))
+        hashes, keys, times = (held.column(c).combine_chunks().flatten() for c in ("hashes", "keys", "times"))
+        at = _search(hashes.to_numpy(), keys, refs.column("_h").to_numpy(), refs.column("_k").combine_chunks())
+        since = refs.column("_t").fill_null(NEVER).to_numpy()
+        return fields.filter(pa.array((at < 0) | (times.to_numpy()[at] > since)))
 
     found = (
         salted.groupBy("_block", "_salt")
