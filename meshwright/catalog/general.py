@@ -199,6 +199,19 @@ def p4_summary(spark: SparkSession, d: str) -> DataFrame:
     return p4_found(spark, d).groupBy("table_name", "difference", "field_name").agg(F.count(F.lit(1)).alias("n_records"))
 
 
+def p4_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of the two stores compared by what they link, a key that parallel edges share: rows of each version without a partner."""
+    edge = read(spark, d, "graph_edges")
+    fields = [("relation_id", norm_id("relation_id")), *[(f, trimmed(f)) for f in _EDGE_TEXTS]]
+    vals = F.map_filter(F.create_map(*[x for f, v in fields for x in (F.lit(f), v)]), lambda k, v: v.isNotNull())
+    key = F.concat_ws(orphans.SEP, id_or_empty("dataset_version_id"), id_or_empty("source_node_id"), id_or_empty("target_node_id"))
+    # Deliveries of one edge again are no parallel edges.
+    rows = edge.select(F.lit("graph_edges").alias("table_name"), key.alias("record_id"), F.lower(trimmed("store")).alias("side"), norm_id("edge_id").alias("edge_id"), "received_at", F.to_json(vals).alias("v"))
+    rows = first_deliveries(rows, ["side", "edge_id"], "received_at").select("table_name", "record_id", "side", F.from_json("v", "map<string,string>").alias("vals"))
+    found = copies.compare_copies(rows, ("postgres", "json"), once=False).filter("difference != 'differs'")
+    return found.groupBy(F.substring_index("record_id", orphans.SEP, 1).alias("dataset_version_id"), "difference").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 _P3_BODY = f"""
 with r as (
   select coalesce({sql_id('dataset_id')}, '') as dataset_id, {sql_id('snapshot_id')} as snapshot_id, {sql_id('asset_id')} as asset_id, min(snapshot_at) as snap_at, min({sql_text('object_ref')}) as ref,
@@ -313,7 +326,7 @@ with g as (
 )
 """
 
-QUERIES = {"p1_found": p1_found, "p1_monthly": p1_monthly, "p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p3_found": p3_found, "p3_summary": p3_summary, "p4_found": p4_found, "p4_summary": p4_summary, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_monthly": p1_monthly, "p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p3_found": p3_found, "p3_summary": p3_summary, "p4_found": p4_found, "p4_summary": p4_summary, "p4_duplicates": p4_duplicates, "p5_found": p5_found}
 SQL = {
     "p1_found": _P1_BODY + "select table_name, field_name, dv as dataset_version_id, record_id, strftime(created_at, '%Y-%m') as period_month from judged where orphan",
     "p1_monthly": _P1_BODY + "select table_name, field_name, strftime(created_at, '%Y-%m') as period_month, count(*) as n_references, count(*) filter (orphan) as n_orphans from judged group by all",
@@ -324,5 +337,7 @@ SQL = {
     "p3_summary": _P3_BODY + "select dataset_id, snapshot_id, case when before_ref = '' then 'added' when after_ref = '' then 'removed' else 'changed' end as change_type, field_name, count(*) as n_assets from p3 group by all",
     "p4_found": _P4_BODY + "select * from p4",
     "p4_summary": _P4_BODY + "select table_name, difference, field_name, count(*) as n_records from p4 group by all",
+    "p4_duplicates": _P4_BODY + f"""select dv as dataset_version_id, 'missing_in_' || case when n > 0 then 'json' else 'postgres' end as difference, sum(abs(n))::bigint as n_rows
+      from (select coalesce({sql_id('dataset_version_id')}, '') as dv, coalesce({sql_id('source_node_id')}, '') as a, coalesce({sql_id('target_node_id')}, '') as b, count(*) filter (side = 'postgres') - count(*) filter (side = 'json') as n from e1 group by all) where n <> 0 group by all""",
     "p5_found": _P5_BODY + "select 'near' as kind, one as first_geometry_id, two as second_geometry_id from near union all select 'inside', least(pid, gid), greatest(pid, gid) from inside",
 }

@@ -6,31 +6,35 @@ possible (minimum-cost assignment on the counts of differing fields); pairs give
 field differences, rows without a partner are missing on the other side.
 
 Where: cancelling is one aggregation on (key, hash of the row), with partial
-sums before the shuffle. Keys that keep at most one row a side, nearly all, are
-paired in the JVM; others by the Hungarian method in tasks of one key each. Up
-to ``exact_rows`` rows a side it works on the table of all costs; beyond that
+sums before the shuffle. All that is left over goes through the assignment:
+partitions sorted by key, read as a stream, in which keys of one row a side pair
+at once, a batch of them together, and others by the Hungarian method. Up to
+``exact_rows`` rows a side it works on the table of all costs; beyond that
 costs are computed a row at a time, from the fields as numbers, so memory grows
 with the rows left of a key and not with their pairs. The total is the least for
 every key, whatever its size; what is left of one key has to fit into a task,
 and the time grows faster than the rows.
 
 Defined results: a field that is null (or absent) equals one that is absent;
-numeric fields with a tolerance differ from it on. Rows without a key have the
-key ``''``. With ``once`` repeated rows of a side count once.
+fields with a tolerance differ from it on where both are numbers, and as texts
+where one is not. Rows without a key have the key ``''``. With ``once`` repeated
+rows of a side are deliveries of one row and count once, before anything cancels.
 """
 
 from __future__ import annotations
 
 import decimal
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import stage
+from ..plans.staging import partitions_for, stage
 
 EXACT_ROWS = 256
 
@@ -90,11 +94,13 @@ def leaves(text: str | None, root: str) -> dict[str, str]:
 def json_leaves(column: str, root: str) -> Column:
     """Map of the leaves of a JSON text."""
 
-    @F.pandas_udf("string")
-    def flat(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: json.dumps(leaves(t, root)), na_action=None)
+    @F.arrow_udf("map<string,string>")
+    def flat(texts: pa.Array) -> pa.Array:
+        found = [leaves(t, root) for t in texts.to_pylist()]
+        ends = np.cumsum([0, *map(len, found)])
+        return pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array([k for f in found for k in f], pa.string()), pa.array([v for f in found for v in f.values()], pa.string()))
 
-    return F.from_json(flat(F.col(column)), "map<string,string>")
+    return flat(F.col(column))
 
 
 # --- pairing ----------------------------------------------------------------
@@ -161,12 +167,11 @@ def assign_by_rows(n: int, m: int, row) -> np.ndarray:
     return _columns(n, match)
 
 
-def _differ(x: str | None, y: str | None, tolerance: float | None) -> bool:
-    if x == y:
-        return False
-    if x is None or y is None or tolerance is None:
-        return True
-    return abs(float(x) - float(y)) >= tolerance * (1 - 1e-6)
+def _number_or_nan(text: str | None) -> float:
+    try:
+        return float(text) if text is not None else np.nan
+    except ValueError:
+        return np.nan
 
 
 def pair_rows(left: list[dict], right: list[dict], tolerances: dict[str, float], table_rows: int = EXACT_ROWS) -> list[tuple[int, int]]:
@@ -174,18 +179,21 @@ def pair_rows(left: list[dict], right: list[dict], tolerances: dict[str, float],
     order = lambda rows: sorted(range(len(rows)), key=lambda i: sorted(rows[i].items()))
     a, b = order(left), order(right)
     fields = sorted({k for r in (*left, *right) for k in r})
-    numbers = [(tolerances[f], *(np.array([float(rows[i].get(f, "nan")) for i in at]) for rows, at in ((left, a), (right, b)))) for f in fields if f in tolerances]
-    codes = [pd.factorize(np.array([rows[i].get(f) for rows, at in ((left, a), (right, b)) for i in at], dtype=object))[0].astype(np.int32) for f in fields if f not in tolerances]
+    column = lambda f: np.array([rows[i].get(f) for rows, at in ((left, a), (right, b)) for i in at], dtype=object)
+    codes = [(f, pd.factorize(column(f))[0].astype(np.int32)) for f in fields]
+    numbers = {f: np.array([_number_or_nan(v) for v in column(f)]) for f in fields if f in tolerances}
 
     def costs(mine: slice, turned: bool) -> np.ndarray:
         """Differing fields of some rows (columns, if turned) with all on the other side."""
-        cost = 0.0
-        for t, x, y in numbers:
-            x, y = (y, x) if turned else (x, y)
-            cost = cost + np.where(np.isnan(x[mine])[:, None] & np.isnan(y)[None, :], False, ~(np.abs(x[mine][:, None] - y[None, :]) < t * (1 - 1e-6)))
-        for c in codes:
-            x, y = (c[len(a) :], c[: len(a)]) if turned else (c[: len(a)], c[len(a) :])
-            cost = cost + (x[mine][:, None] != y[None, :])
+        cost, cut = 0.0, len(a)
+        halves = lambda c: (c[cut:][mine][:, None], c[:cut][None, :]) if turned else (c[:cut][mine][:, None], c[cut:][None, :])
+        for f, c in codes:
+            x, y = halves(c)
+            differ = x != y
+            if f in numbers:
+                x, y = halves(numbers[f])
+                differ = np.where(np.isfinite(x) & np.isfinite(y), np.abs(x - y) >= tolerances[f] * (1 - 1e-6), differ)
+            cost = cost + differ
         return cost
 
     if not (len(a) and len(b) and fields):
@@ -202,6 +210,56 @@ def pair_rows(left: list[dict], right: list[dict], tolerances: dict[str, float],
     return [(a[i], b[j] if j >= 0 else -1) for i, j in enumerate(to)] + [(-1, b[j]) for j in range(len(b)) if j not in taken]
 
 
+def _paired(tolerances: dict[str, float], table_rows: int):
+    """Task over rows (table_name, record_id, side, vals) sorted by key: (table_name, record_id, x, y), the pairs at the least cost."""
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        """All rows of some keys."""
+        table = table.combine_chunks()
+        columns = {c: table.column(c).chunk(0) for c in table.column_names}
+        side, n = columns["side"].to_numpy(), table.num_rows
+        change = np.zeros(n, dtype=bool)
+        change[0] = True
+        for c in ("table_name", "record_id"):
+            change[1:] |= pc.not_equal(columns[c].slice(1), columns[c].slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        start = np.flatnonzero(change)
+        stop = np.append(start[1:], n)
+        lefts = np.add.reduceat(side == 1, start)
+        rights = stop - start - lefts
+        plain = (lefts <= 1) & (rights <= 1)
+        x, y = [np.where(lefts > 0, start, -1)[plain]], [np.where(rights > 0, stop - 1, -1)[plain]]
+        for a, middle, b in zip(start[~plain], (start + lefts)[~plain], stop[~plain]):
+            rows = [dict(v) for v in columns["vals"].slice(a, b - a).to_pylist()]
+            pairs = np.array(pair_rows(rows[: middle - a], rows[middle - a :], tolerances, table_rows))
+            x.append(np.where(pairs[:, 0] >= 0, a + pairs[:, 0], -1))
+            y.append(np.where(pairs[:, 1] >= 0, middle + pairs[:, 1], -1))
+        x, y = np.concatenate(x), np.concatenate(y)
+        at = lambda k: pa.array(k, pa.int64(), mask=k < 0)
+        own = pa.array(np.maximum(x, y))
+        return pa.RecordBatch.from_arrays([columns["table_name"].take(own), columns["record_id"].take(own), columns["vals"].take(at(x)), columns["vals"].take(at(y))], ["table_name", "record_id", "x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = lambda b, i: (b.column("table_name")[i].as_py(), b.column("record_id")[i].as_py())
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = last(batch, batch.num_rows - 1)
+            if held and last(held[-1], held[-1].num_rows - 1) == key:  # one key only, and more of it may come
+                held.append(batch)
+                continue
+            k = batch.num_rows - 1
+            while k and last(batch, k - 1) == key:
+                k -= 1
+            if held or k:
+                yield from pa.Table.from_batches([solve(pa.Table.from_batches([*held, batch.slice(0, k)]))]).to_batches(max_chunksize=10_000)
+            held = [batch.slice(k)]
+        if held:
+            yield from pa.Table.from_batches([solve(pa.Table.from_batches(held))]).to_batches(max_chunksize=10_000)
+
+    return run
+
+
 def compare_copies(rows: DataFrame, sides: tuple[str, str], tolerances: dict[str, float] | None = None, once: bool = True, exact_rows: int = EXACT_ROWS) -> DataFrame:
     """(table_name, record_id, difference, field_name) of rows (table_name, record_id, side, vals map<string,string>)."""
     tolerances = tolerances or {}
@@ -210,50 +268,32 @@ def compare_copies(rows: DataFrame, sides: tuple[str, str], tolerances: dict[str
     def rounded(e: Column) -> Column:
         value = e["value"]
         for f, t in tolerances.items():
-            value = F.when(e["key"] == f, F.coalesce(F.round(e["value"].cast("double") / t).cast("decimal(38,0)").cast("string"), e["value"])).otherwise(value)
+            value = F.when(e["key"] == f, F.coalesce(F.round(e["value"].try_cast("double") / t).cast("decimal(38,0)").cast("string"), e["value"])).otherwise(value)
         return F.struct(e["key"].alias("k"), value.alias("v"))
 
     canonical = F.array_sort(F.transform(F.map_entries(F.map_filter("vals", lambda k, v: v.isNotNull())), rounded))
     present = rows.filter(F.col("side").isin(one, two)).select(F.coalesce("table_name", F.lit("")).alias("table_name"), F.coalesce("record_id", F.lit("")).alias("record_id"), "side", "vals", F.xxhash64(canonical).alias("h"))
-    count = lambda s: F.sum((F.col("side") == s).cast("long"))
-    if once:
-        count = lambda s: F.max((F.col("side") == s).cast("long"))
-    left = present.groupBy(*key, "h").agg(count(one).alias("l"), count(two).alias("r"), F.first("vals").alias("vals"))
-    left = stage(left.withColumn("c", F.least("l", "r")).select(*key, "h", (F.col("l") - F.col("c")).alias("l"), (F.col("r") - F.col("c")).alias("r"), "vals").filter("l + r > 0"))
-    per_key = left.groupBy(*key).agg(F.sum("l").alias("nl"), F.sum("r").alias("nr"))
-    plain = left.groupBy(*key).agg(F.sum("l").alias("nl"), F.sum("r").alias("nr"), F.first(F.when(F.col("l") > 0, F.col("vals")), True).alias("x"), F.first(F.when(F.col("r") > 0, F.col("vals")), True).alias("y")).filter("nl <= 1 and nr <= 1")
+    # Multiplicities of each different row; of deliveries of one row, one counts.
+    count = lambda s: (F.max if once else F.sum)((F.col("side") == s).cast("long"))
+    held = present.groupBy(*key, "h").agg(count(one).alias("l"), count(two).alias("r"), F.first("vals").alias("vals"))
+    cancelled = F.least("l", "r")
+    left = stage(held.select(*key, "h", (F.col("l") - cancelled).alias("l"), (F.col("r") - cancelled).alias("r"), "vals").filter("l + r > 0"))
+    several = F.expr("explode(sequence(1L, l + r))")
+    each = left.select(*key, "h", F.when(F.col("l") > 0, 1).otherwise(2).alias("side"), F.map_filter("vals", lambda k, v: v.isNotNull()).alias("vals"), several.alias("_n"))
+    parts = partitions_for(left.sparkSession, left.count(), 50_000)
+    in_order = each.repartition(parts, *key).sortWithinPartitions(*key, "side", "h").select(*key, "side", "vals")
+    pairs = in_order.mapInArrow(_paired(tolerances, exact_rows), "table_name string, record_id string, x map<string,string>, y map<string,string>")
 
     def differs(k: Column, p: Column) -> Column:
         x, y = p["x"], p["y"]
         out = ~x.eqNullSafe(y)
         for f, t in tolerances.items():
-            a, b = x.cast("double"), y.cast("double")
+            a, b = x.try_cast("double"), y.try_cast("double")
             out = F.when((k == f) & a.isNotNull() & b.isNotNull(), F.abs(a - b) >= t * (1 - 1e-6)).otherwise(out)
         return out
 
     zipped = F.map_zip_with("x", "y", lambda k, x, y: F.struct(x.alias("x"), y.alias("y")))
     fields = F.map_keys(F.map_filter(zipped, differs))
-    found = F.when(F.col("nl") == 0, F.array(F.struct(F.lit(f"missing_in_{one}").alias("difference"), F.lit("").alias("field_name")))).when(
-        F.col("nr") == 0, F.array(F.struct(F.lit(f"missing_in_{two}").alias("difference"), F.lit("").alias("field_name")))
-    ).otherwise(F.transform(fields, lambda f: F.struct(F.lit("differs").alias("difference"), f.alias("field_name"))))
-    result = plain.select(*key, F.inline(found))
-
-    several = per_key.filter("nl > 1 or nr > 1").select(*key)
-    again = stage(left.join(several, key).withColumn("n", F.explode(F.expr("sequence(1, cast(greatest(l, r) as int))"))).select(*key, F.when(F.col("l") > 0, 1).otherwise(2).alias("side"), "vals"))
-    if not again.take(1):
-        return result
-
-    def pairs(table: pa.Table) -> pa.Table:
-        rows = [dict(v) for v in table.column("vals").to_pylist()]
-        side = table.column("side").to_pylist()
-        a, b = ([r for r, s in zip(rows, side) if s == k] for k in (1, 2))
-        out = []
-        for i, j in pair_rows(a, b, tolerances, exact_rows):
-            if i < 0 or j < 0:
-                out.append((f"missing_in_{one if i < 0 else two}", ""))
-            else:
-                out += [("differs", f) for f in sorted({*a[i], *b[j]}) if _differ(a[i].get(f), b[j].get(f), tolerances.get(f))]
-        head = [table.column(c)[0].as_py() for c in key]
-        return pa.table([pa.array([h] * len(out), pa.string()) for h in head] + [pa.array([o[k] for o in out], pa.string()) for k in (0, 1)], names=[*key, "difference", "field_name"])
-
-    return result.unionByName(again.groupBy(*key).applyInArrow(pairs, "table_name string, record_id string, difference string, field_name string"))
+    missing = lambda s: F.array(F.struct(F.lit(f"missing_in_{s}").alias("difference"), F.lit("").alias("field_name")))
+    found = F.when(F.col("x").isNull(), missing(one)).when(F.col("y").isNull(), missing(two)).otherwise(F.transform(fields, lambda f: F.struct(F.lit("differs").alias("difference"), f.alias("field_name"))))
+    return pairs.select(*key, F.inline(found))
