@@ -14,11 +14,15 @@ from .views import sql_with
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return views.graph(spark, d).select(F.col("dv").alias("scope"), F.col("source_id").alias("a"), F.col("target_id").alias("b"), "direction", "length", "family", "edge_id")
+    return views.graph(spark, d, "dv", "direction", "length", "family").selectExpr("dv as scope", "source_id as a", "target_id as b", "direction", "length", "family", "edge_id")
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return views.graph(spark, d, "dv").selectExpr("dv as scope", "source_id as a", "target_id as b")
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    return views.assets(spark, d).filter("status != 'removed'").select(F.col("dv").alias("scope"), F.col("asset_id").alias("node")).distinct()
+    return views.assets(spark, d, "dv", "asset_id", "status").filter("status != 'removed'").select(F.col("dv").alias("scope"), F.col("asset_id").alias("node")).distinct()
 
 
 def graph_degrees(spark: SparkSession, d: str) -> DataFrame:
@@ -32,7 +36,7 @@ def graph_isolated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_components(spark: SparkSession, d: str) -> DataFrame:
-    return g.components(_edges(spark, d)).select(F.col("scope").alias("dv"), F.col("node").alias("asset_id"), "component")
+    return g.components(_links(spark, d)).select(F.col("scope").alias("dv"), F.col("node").alias("asset_id"), "component")
 
 
 def graph_component_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -47,19 +51,17 @@ def graph_component_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _roots(edges: DataFrame) -> DataFrame:
-    parts = stage(g.components(edges))
-    return stage(g.roots(g.degrees(edges, parts.select("scope", "node")), parts))
+    return stage(g.survey(edges).filter("node = root").select("scope", "component", "node"))
 
 
 def graph_roots(spark: SparkSession, d: str) -> DataFrame:
     """The root of each component: the node of most edges, the least id among equals."""
-    return _roots(stage(_edges(spark, d))).select(F.col("scope").alias("dv"), "component", F.col("node").alias("root_id"))
+    return g.survey(_links(spark, d)).filter("node = root").selectExpr("scope as dv", "component", "node as root_id")
 
 
 def trace_hops(spark: SparkSession, d: str) -> DataFrame:
     """Hops of every node from its component's root, whatever the edges' directions."""
-    edges = stage(_edges(spark, d))
-    return g.reach(g.both_ways(edges), _roots(edges).select("scope", "node")).select(F.col("scope").alias("dv"), F.col("node").alias("asset_id"), "hops")
+    return g.survey(_links(spark, d)).selectExpr("scope as dv", "node as asset_id", "hops")
 
 
 def trace_downstream(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +104,7 @@ def trace_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Why a downstream trace from an asset to its upstream asset finds no path, or that it does: isolated, other component, against the direction."""
     edges = stage(_edges(spark, d))
     parts = stage(g.components(edges))
-    asked = views.assets(spark, d).filter("upstream_id is not null").select(F.col("dv").alias("scope"), F.col("asset_id").alias("node"), F.col("upstream_id").alias("target")).distinct()
+    asked = views.assets(spark, d, "dv", "asset_id", "upstream_id").filter("upstream_id is not null").select(F.col("dv").alias("scope"), F.col("asset_id").alias("node"), F.col("upstream_id").alias("target")).distinct()
     part = lambda c: parts.select("scope", F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
     joined = asked.join(part("node"), ["scope", "node"], "left").join(part("target"), ["scope", "target"], "left")
     direct = edges.select("scope", F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("target")), F.struct(F.col("b").alias("node"), F.col("a").alias("target"))))).distinct().withColumn("adjacent", F.lit(True))
@@ -113,28 +115,15 @@ def trace_reasons(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy(F.col("scope").alias("dv"), reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _failure(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Edges, arcs, roots and, as failed, the best linked neighbour of each root."""
-    edges = stage(_edges(spark, d))
-    start = _roots(edges)
-    arcs = stage(g.both_ways(edges).distinct())
-    degree = g.degrees(edges, start.select("scope", "node"))
-    near = arcs.join(start.select("scope", F.col("node").alias("a"), "component"), ["scope", "a"]).select("scope", "component", F.col("b").alias("node")).join(degree, ["scope", "node"])
-    failed = near.groupBy("scope", "component").agg(F.min(F.struct((-F.col("degree")).alias("d"), "node")).alias("m")).select("scope", F.col("m.node").alias("node"))
-    return edges, arcs, start.select("scope", "node"), stage(failed)
-
-
 def impact_failure(spark: SparkSession, d: str) -> DataFrame:
     """What is cut off from each root when its best linked neighbour fails."""
-    _, arcs, start, failed = _failure(spark, d)
-    return g.impact(arcs, start, failed).select(F.col("scope").alias("dv"), F.col("node").alias("asset_id"))
+    return g.root_failures(_links(spark, d)).selectExpr("scope as dv", "node as asset_id")
 
 
 def impact_groups(spark: SparkSession, d: str) -> DataFrame:
     """The cut-off assets by site and category."""
-    _, arcs, start, failed = _failure(spark, d)
-    lost = g.impact(arcs, start, failed)
-    own = views.assets(spark, d).select(F.col("dv").alias("scope"), F.col("asset_id").alias("node"), "site_id", "category").dropDuplicates(["scope", "node"])
+    lost = g.root_failures(_links(spark, d))
+    own = views.assets(spark, d, "dv", "asset_id", "site_id", "category").groupBy(F.col("dv").alias("scope"), F.col("asset_id").alias("node")).agg(F.min("site_id").alias("site_id"), F.min("category").alias("category"))
     return lost.join(own, ["scope", "node"], "left").groupBy(F.col("scope").alias("dv"), F.coalesce("site_id", F.lit("unknown")).alias("site_id"), F.coalesce("category", F.lit("unknown")).alias("category")).agg(F.count(F.lit(1)).alias("n_assets"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, score, text
 from ..operators import gridjoin as g
 from ..operators import labels
+from ..plans.staging import stage
 from ..sources import kml
 from . import views
 from .views import sql_with
@@ -22,12 +23,12 @@ def _hav(a: str, b: str, c: str, d: str) -> str:
 
 def text_tokens(spark: SparkSession, d: str) -> DataFrame:
     tokens = text.token_text(F.col("source_name"))
-    return views.assets(spark, d).select("object_id", tokens.alias("token_text"), text.snake_case(F.col("source_name")).alias("snake"), F.array_join(text.label_tokens(tokens), " ").alias("label"), text.first_number(F.col("source_name")).alias("number"))
+    return views.assets(spark, d, "source_name").select("object_id", tokens.alias("token_text"), text.snake_case(F.col("source_name")).alias("snake"), F.array_join(text.label_tokens(tokens), " ").alias("label"), text.first_number(F.col("source_name")).alias("number"))
 
 
 def text_label_aliases(spark: SparkSession, d: str) -> DataFrame:
     """Every name by which a line may call a device."""
-    rows = views.assets(spark, d).select("object_id", text.token_text(F.col("source_name")).alias("t"))
+    rows = views.assets(spark, d, "source_name").select("object_id", text.token_text(F.col("source_name")).alias("t"))
     words = text.label_tokens(F.col("t"))
     return rows.select("object_id", F.explode(text.label_aliases(words, F.col("t"))).alias("a")).select("object_id", F.array_join("a", " ").alias("alias"))
 
@@ -42,7 +43,7 @@ def text_locations(spark: SparkSession, d: str) -> DataFrame:
 
 def text_shared_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Words that the name of an asset shares with its parent's."""
-    rows = views.assets(spark, d).select("dv", "asset_id", "parent_id", text.token_text(F.col("source_name")).alias("t"))
+    rows = views.assets(spark, d, "dv", "asset_id", "parent_id", "source_name").select("dv", "asset_id", "parent_id", text.token_text(F.col("source_name")).alias("t"))
     parents = rows.select("dv", F.col("asset_id").alias("parent_id"), F.col("t").alias("u"))
     return rows.join(parents, ["dv", "parent_id"]).select("dv", "asset_id", text.shared_tokens(F.col("u"), F.col("t")).alias("n_shared"))
 
@@ -72,7 +73,7 @@ def geo_polygon_areas(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return views.lines(spark, d).select(F.col("dv").alias("scope"), F.col("geometry_id").alias("line_id"), "line")
+    return views.lines(spark, d).selectExpr("dv as scope", "geometry_id as line_id", "line")
 
 
 def _devices(spark: SparkSession, d: str) -> DataFrame:
@@ -99,9 +100,13 @@ def line_crossings(spark: SparkSession, d: str) -> DataFrame:
 SEARCH_METRES, INLINE_METRES, INLINE_MARGIN, JUNCTION_METRES, POLE_METRES = 6.0, 2.0, 5.0, 30.0, 5.0
 
 
-def _end_pairs(spark: SparkSession, d: str) -> DataFrame:
-    ends = g.line_ends(_lines(spark, d)).withColumn("left_id", F.concat_ws(":", F.lit("endpoint"), "line_id", "role"))
-    devices = _devices(spark, d).filter("asset_type != 'pole'").select(F.col("dv").alias("scope"), F.col("geometry_id").alias("right_id"), "lon", "lat")
+def _ends(spark: SparkSession, d: str) -> DataFrame:
+    return g.line_ends(_lines(spark, d)).selectExpr("*", "concat_ws(':', 'endpoint', line_id, role) as left_id")
+
+
+def _end_pairs(spark: SparkSession, d: str, ends: DataFrame | None = None) -> DataFrame:
+    ends = (_ends(spark, d) if ends is None else ends).select("scope", "left_id", "lon", "lat")
+    devices = _devices(spark, d).where("asset_type != 'pole'").selectExpr("dv as scope", "geometry_id as right_id", "lon", "lat")
     return g.near_points(ends, devices, SEARCH_METRES)
 
 
@@ -112,9 +117,8 @@ def endpoint_devices(spark: SparkSession, d: str) -> DataFrame:
 
 def endpoint_unresolved(spark: SparkSession, d: str) -> DataFrame:
     """Ends of lines without a device in reach."""
-    ends = g.line_ends(_lines(spark, d)).select(F.col("scope").alias("dv"), F.concat_ws(":", F.lit("endpoint"), "line_id", "role").alias("endpoint_id"))
-    found = _end_pairs(spark, d).select(F.col("left_id").alias("endpoint_id")).distinct()
-    return ends.join(found, "endpoint_id", "left_anti")
+    ends = stage(_ends(spark, d).select("scope", "left_id", "lon", "lat"))
+    return ends.join(_end_pairs(spark, d, ends).select("scope", "left_id").distinct(), ["scope", "left_id"], "left_anti").selectExpr("scope as dv", "left_id as endpoint_id")
 
 
 def endpoint_nearest(spark: SparkSession, d: str) -> DataFrame:
@@ -125,16 +129,16 @@ def endpoint_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 def inline_devices(spark: SparkSession, d: str) -> DataFrame:
     """Devices on a line away from its ends."""
-    devices = _devices(spark, d).filter("asset_type != 'pole'").select(F.col("dv").alias("scope"), F.col("geometry_id").alias("point_id"), "lon", "lat")
-    met = g.points_on_lines(devices, _lines(spark, d), INLINE_METRES)
-    return met.filter((F.col("to_start") > INLINE_MARGIN) & (F.col("to_end") > INLINE_MARGIN)).select("line_id", F.col("point_id").alias("geometry_id"), F.round("distance", 5).alias("distance"), F.round("measure", 3).alias("measure"))
+    devices = _devices(spark, d).where("asset_type != 'pole'").selectExpr("dv as scope", "geometry_id as point_id", "lon", "lat")
+    met = g.points_on_lines(devices, _lines(spark, d), INLINE_METRES).where(f"to_start > {INLINE_MARGIN} and to_end > {INLINE_MARGIN}")
+    return met.selectExpr("line_id", "point_id as geometry_id", "round(distance, 5) as distance", "round(measure, 3) as measure")
 
 
 def continuations(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of ends as ``end_pairs`` gives them, no device being near either."""
-    ends = g.line_ends(_lines(spark, d)).withColumn("left_id", F.concat_ws(":", F.lit("endpoint"), "line_id", "role"))
-    taken = _end_pairs(spark, d).select("scope", "left_id").distinct()
-    return g.end_pairs(ends.join(taken, ["scope", "left_id"], "left_anti"), SEARCH_METRES, 30.0)
+    ends = stage(_ends(spark, d))
+    taken = _end_pairs(spark, d, ends).select("scope", "left_id").distinct()
+    return g.end_pairs(stage(ends.join(taken, ["scope", "left_id"], "left_anti")), SEARCH_METRES, 30.0)
 
 
 def endpoint_continuations(spark: SparkSession, d: str) -> DataFrame:
@@ -157,7 +161,7 @@ def pole_mounting(spark: SparkSession, d: str) -> DataFrame:
     number = text.first_number(F.col("source_name"))
     own = devices.filter("asset_type != 'pole'").select(F.col("dv").alias("scope"), F.col("geometry_id").alias("left_id"), "lon", "lat", number.alias("number"))
     poles = devices.filter("asset_type = 'pole'").select(F.col("dv").alias("scope"), F.col("geometry_id").alias("right_id"), "lon", "lat", number.alias("pole_number"))
-    pairs = g.near_points(own, poles, 2 * POLE_METRES).join(own.select("scope", "left_id", "number"), ["scope", "left_id"]).join(poles.select("scope", "right_id", "pole_number"), ["scope", "right_id"])
+    pairs = g.near_points(own, poles, 2 * POLE_METRES)
     near = F.col("distance") <= POLE_METRES
     same = F.coalesce(F.col("number") == F.col("pole_number"), F.lit(False))
     told = pairs.groupBy("scope", "left_id").agg(

@@ -19,21 +19,22 @@ BOX = (95.0, -11.0, 100.0, -10.0)
 
 def catalog_assets(spark: SparkSession, d: str) -> DataFrame:
     """Assets with their geometries, box and topology status."""
-    places = views.points(spark, d).groupBy("dv", "feature_id").agg(F.count(F.lit(1)).alias("n_points"), *[f(c).alias(n) for n, f, c in (("west", F.min, "lon"), ("south", F.min, "lat"), ("east", F.max, "lon"), ("north", F.max, "lat"))])
-    graph = views.graph(spark, d)
-    degree = graph.select("dv", F.explode(F.array("source_id", "target_id")).alias("asset_id")).groupBy("dv", "asset_id").agg(F.count(F.lit(1)).alias("n_edges"))
-    open_ = views.candidates(spark, d).filter("candidate_status not in ('rejected', 'skipped', 'revoked') and target_id is not null").groupBy("dv", F.col("target_id").alias("asset_id")).agg(F.count(F.lit(1)).alias("n_candidates"))
-    own = views.assets(spark, d).filter("object_role != 'visual_only'").select("object_id", "dv", "asset_id", "feature_id")
-    joined = own.join(places, ["dv", "feature_id"], "left").join(degree, ["dv", "asset_id"], "left").join(open_, ["dv", "asset_id"], "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    status = F.when(F.col("n_edges") > 0, "connected").when(F.col("n_candidates") > 0, "pending-review").otherwise("isolated")
-    return joined.select("object_id", zero("n_points"), "west", "south", "east", "north", zero("n_edges"), zero("n_candidates"), status.alias("topology_status"))
+    places = views.points(spark, d).groupBy("dv", "feature_id").agg(*map(F.expr, ("count(1) as n_points", "min(lon) as west", "min(lat) as south", "max(lon) as east", "max(lat) as north")))
+    ends = views.graph(spark, d, "dv", "source_id", "target_id").selectExpr("dv", "explode(array(source_id, target_id)) as asset_id", "1 as e", "0 as c")
+    open_ = views.candidates(spark, d, "dv", "candidate_status", "target_id").where("candidate_status not in ('rejected', 'skipped', 'revoked') and target_id is not null").selectExpr("dv", "target_id as asset_id", "0 as e", "1 as c")
+    links = ends.unionByName(open_).groupBy("dv", "asset_id").agg(F.expr("sum(e) as n_edges"), F.expr("sum(c) as n_candidates"))
+    own = views.assets(spark, d, "dv", "asset_id", "feature_id", "object_role").where("object_role != 'visual_only'").select("object_id", "dv", "asset_id", "feature_id")
+    joined = own.join(places.where("feature_id != ''"), ["dv", "feature_id"], "left").join(links.where("asset_id != ''"), ["dv", "asset_id"], "left")
+    return joined.selectExpr(
+        "object_id", "coalesce(n_points, 0) as n_points", "west", "south", "east", "north", "coalesce(n_edges, 0) as n_edges", "coalesce(n_candidates, 0) as n_candidates",
+        "case when n_edges > 0 then 'connected' when n_candidates > 0 then 'pending-review' else 'isolated' end as topology_status",
+    )
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
     low = lambda c: F.lower(F.col(c))
     rank = ranking.search_rank(QUERY, [low("asset_id"), F.col("object_id")], low("source_name"), [low("asset_type"), low("category")], [low("site_id")])
-    return views.assets(spark, d).filter("object_role != 'visual_only'").select("object_id", low("source_name").alias("name"), "asset_id", rank.alias("rank")).filter("rank is not null")
+    return views.assets(spark, d, "asset_id", "source_name", "asset_type", "category", "site_id", "object_role").filter("object_role != 'visual_only'").select("object_id", low("source_name").alias("name"), "asset_id", rank.alias("rank")).filter("rank is not null")
 
 
 def catalog_search(spark: SparkSession, d: str) -> DataFrame:
@@ -52,15 +53,15 @@ def catalog_ranks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def catalog_facets(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.facets(views.assets(spark, d), FACETS)
+    return ranking.facets(views.assets(spark, d, *FACETS), FACETS)
 
 
 def catalog_sites(spark: SparkSession, d: str) -> DataFrame:
     """Assets, points, box and points outside the box of interest for each site."""
-    own = views.assets(spark, d).filter("object_role != 'visual_only'")
+    own = views.assets(spark, d, "dv", "feature_id", "site_id", "object_role").filter("object_role != 'visual_only'")
     counts = own.groupBy("site_id").agg(F.count(F.lit(1)).alias("n_assets"))
     inside = geo.boxes_meet([F.col("lon"), F.col("lat"), F.col("lon"), F.col("lat")], [F.lit(v) for v in BOX])
-    places = views.points(spark, d).join(own.select("dv", "feature_id", "site_id"), ["dv", "feature_id"]).groupBy("site_id").agg(
+    places = views.of_features(views.points(spark, d), own.select("dv", "feature_id", "site_id")).groupBy("site_id").agg(
         F.count(F.lit(1)).alias("n_points"), F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"), F.sum((~inside).cast("long")).alias("n_outside")
     )
     return counts.join(places, "site_id", "left").na.fill(0, ["n_points", "n_outside"])
@@ -80,7 +81,7 @@ def catalog_filters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def catalog_summary(spark: SparkSession, d: str) -> DataFrame:
-    return views.geometries(spark, d).groupBy("kind", "valid").agg(F.count(F.lit(1)).alias("n_geometries"), F.count_distinct("feature_id").alias("n_features"))
+    return views.geometries(spark, d, "feature_id", "kind", "valid").groupBy("kind", "valid").agg(F.count(F.lit(1)).alias("n_geometries"), F.count_distinct("feature_id").alias("n_features"))
 
 
 def catalog_duplicates(spark: SparkSession, d: str) -> DataFrame:
@@ -98,10 +99,10 @@ def catalog_inventory(spark: SparkSession, d: str) -> DataFrame:
 
 def catalog_networks(spark: SparkSession, d: str) -> DataFrame:
     """Geometries of each family by kind, with their box."""
-    own = views.assets(spark, d).select("dv", "feature_id", "network_family")
+    own = views.assets(spark, d, "dv", "feature_id", "network_family").select("dv", "feature_id", "network_family")
     places = views.points(spark, d).select("dv", "feature_id", F.lit("point").alias("kind"), F.col("lon").alias("x0"), F.col("lon").alias("x1"))
     lines = views.lines(spark, d).select("dv", "feature_id", F.lit("line").alias("kind"), F.array_min(F.transform("line", lambda p: p["lon"])).alias("x0"), F.array_max(F.transform("line", lambda p: p["lon"])).alias("x1"))
-    return places.unionByName(lines).join(own, ["dv", "feature_id"]).groupBy("network_family", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("x0").alias("west"), F.max("x1").alias("east"))
+    return views.of_features(places.unionByName(lines), own).groupBy("network_family", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("x0").alias("west"), F.max("x1").alias("east"))
 
 
 def catalog_numbered(spark: SparkSession, d: str) -> DataFrame:
@@ -116,15 +117,15 @@ def pole_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def classify_names(spark: SparkSession, d: str) -> DataFrame:
     """Role and family of each asset by the words of its name and the kinds of its geometries."""
-    kinds = views.geometries(spark, d).filter("valid").groupBy("dv", "feature_id").agg(F.collect_set("kind").alias("kinds"))
-    rows = views.assets(spark, d).select("object_id", "dv", "feature_id", text.token_text(F.col("source_name")).alias("t")).join(kinds, ["dv", "feature_id"], "left")
-    found = classify.first_rule(F.col("t"), F.coalesce("kinds", F.array().cast("array<string>")))
+    kinds = views.geometries(spark, d, "dv", "feature_id", "kind", "valid").filter("valid and feature_id != ''").groupBy("dv", "feature_id").agg(F.collect_set("kind").alias("kinds"))
+    rows = views.assets(spark, d, "dv", "feature_id", "source_name").select("object_id", "dv", "feature_id", text.token_text(F.col("source_name")).alias("t")).join(kinds, ["dv", "feature_id"], "left").withColumn("kinds", F.expr("coalesce(kinds, cast(array() as array<string>))"))
+    found = classify.first_rule("t", "kinds")
     return rows.select("object_id", found.alias("f")).select("object_id", F.coalesce("f.role", F.lit("unknown")).alias("role"), F.coalesce("f.family", F.lit("unknown")).alias("family"))
 
 
 def classify_agreement(spark: SparkSession, d: str) -> DataFrame:
     """The rules' roles against the stored ones."""
-    stored = views.assets(spark, d).select("object_id", "object_role")
+    stored = views.assets(spark, d, "object_role").select("object_id", "object_role")
     return classify_names(spark, d).join(stored, "object_id").groupBy("object_role", "role").agg(F.count(F.lit(1)).alias("n"))
 
 

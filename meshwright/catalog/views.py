@@ -3,82 +3,102 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.ids import id_or_empty, norm_id, text_or_empty, trimmed
+from ..functions.ids import id_sql, trim_sql
 from ..plans.records import first_deliveries
 from .tables import read
 
 
-def assets(spark: SparkSession, d: str) -> DataFrame:
-    ids = [id_or_empty(a).alias(b) for a, b in (("dataset_version_id", "dv"), ("source_feature_id", "feature_id"), ("asset_id", "asset_id"), ("site_id", "site_id"))]
-    texts = [text_or_empty(c).alias(c) for c in ("source_name", "object_role", "network_family", "asset_type", "category", "classification_status", "status")]
-    rows = read(spark, d, "classified_objects").select(
-        norm_id("classified_object_id").alias("object_id"), *ids, *texts, norm_id("parent_asset_id").alias("parent_id"), norm_id("upstream_asset_id").alias("upstream_id"), "classification_score", "received_at"
-    )
-    return first_deliveries(rows, ["object_id"], "received_at")
+def _records(spark: SparkSession, d: str, table: str, key: str, columns: dict[str, str], wanted: tuple[str, ...], where: str = "true") -> DataFrame:
+    """First deliveries of a table with the wanted columns (all, if none is named); others aren't read."""
+    chosen = [key, *(w for w in wanted or columns if w != key)]
+    rows = read(spark, d, table).where(where).selectExpr(*[f"{columns[c]} as {c}" for c in chosen], "received_at")
+    return first_deliveries(rows, [key], "received_at")
 
 
-def geometries(spark: SparkSession, d: str) -> DataFrame:
-    ids = [id_or_empty(a).alias(b) for a, b in (("dataset_version_id", "dv"), ("source_feature_id", "feature_id"))]
-    rows = read(spark, d, "source_geometries").select(norm_id("source_geometry_id").alias("geometry_id"), *ids, F.lower(trimmed("geometry_type")).alias("kind"), "valid", "coordinates", "geometry", "received_at")
-    return first_deliveries(rows, ["geometry_id"], "received_at")
+def _e_sql(c: str) -> str:
+    return f"coalesce({id_sql(c)}, '')"
+
+
+def _t_sql(c: str) -> str:
+    return f"coalesce({trim_sql(c)}, '')"
+
+
+_ASSETS = (
+    {"object_id": id_sql("classified_object_id"), "dv": _e_sql("dataset_version_id"), "feature_id": _e_sql("source_feature_id"), "asset_id": _e_sql("asset_id"), "site_id": _e_sql("site_id")}
+    | {c: _t_sql(c) for c in ("source_name", "object_role", "network_family", "asset_type", "category", "classification_status", "status")}
+    | {"parent_id": id_sql("parent_asset_id"), "upstream_id": id_sql("upstream_asset_id"), "classification_score": "classification_score"}
+)
+_KIND = f"lower({trim_sql('geometry_type')})"
+_GEOMETRIES = {"geometry_id": id_sql("source_geometry_id"), "dv": _e_sql("dataset_version_id"), "feature_id": _e_sql("source_feature_id"), "kind": _KIND, "valid": "valid", "coordinates": "coordinates", "geometry": "geometry"}
+_EDGES = {
+    "edge_id": id_sql("edge_id"), "dv": _e_sql("dataset_version_id"), "source_id": id_sql("source_node_id"), "target_id": id_sql("target_node_id"), "relation_id": id_sql("relation_id"),
+    "verification": _t_sql("verification_status"), "direction": _t_sql("direction"), "family": _t_sql("network_family"), "length": "length_meters",
+}
+_CANDIDATES = (
+    {"candidate_id": id_sql("candidate_id"), "dv": _e_sql("dataset_version_id"), "endpoint_id": id_sql("source_endpoint_id"), "target_id": id_sql("target_asset_id"), "site_id": _e_sql("site_id")}
+    | {c: _t_sql(c) for c in ("candidate_type", "network_family", "candidate_status", "proposal_status")} | {"score": "score", "distance": "distance_meters"}
+)
+_INTERFACES = (
+    {"interface_id": id_sql("interface_id"), "dv": _e_sql("dataset_version_id"), "owner_id": id_sql("owner_asset_id"), "component_id": id_sql("component_id")}
+    | {c: _t_sql(c) for c in ("interface_type", "service_domain", "media_type", "direction", "status")} | {c: c for c in ("capacity", "occupancy", "is_proxy")}
+)
+
+
+def assets(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return _records(spark, d, "classified_objects", "object_id", _ASSETS, columns)
+
+
+def geometries(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return _records(spark, d, "source_geometries", "geometry_id", _GEOMETRIES, columns)
+
+
+def _placed(spark: SparkSession, d: str, kind: str, place: str, valid: str) -> DataFrame:
+    """Valid geometries of a kind with their parsed places: the texts are filtered and parsed before deliveries are collapsed, so they aren't shuffled."""
+    ids = [f"{_GEOMETRIES[c]} as {c}" for c in ("geometry_id", "dv", "feature_id")]
+    rows = read(spark, d, "source_geometries").where(f"valid and {_KIND} = '{kind}'").selectExpr(*ids, place, "received_at")
+    return first_deliveries(rows.where(valid), ["geometry_id"], "received_at").drop("received_at")
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
-    place = F.when(geo.has_coordinates("coordinates"), geo.point_from_json("coordinates")).otherwise(geo.point_from_wkt("geometry"))
-    rows = geometries(spark, d).filter("valid and kind = 'point'").select("geometry_id", "dv", "feature_id", F.inline(F.array(place)))  # a generator: the text is parsed once, however often its parts are used
-    return rows.filter(geo.position_valid(F.col("lon"), F.col("lat")))
+    """geometry_id, dv, feature_id, lon, lat of valid points."""
+    return _placed(spark, d, "point", f"inline(array({geo.POINT_SQL}))", geo.valid_sql("lon", "lat"))  # a generator: the text is parsed once, however often its parts are used
+
+
+def of_features(places: DataFrame, own: DataFrame, how: str = "inner") -> DataFrame:
+    """``places`` joined to the records of their features; a place or a record without a feature has no partner."""
+    return places.join(own.where("feature_id != ''"), ["dv", "feature_id"], how)
 
 
 def devices(spark: SparkSession, d: str) -> DataFrame:
     """Points of assets: geometry_id, dv, asset_id, asset_type, site_id, lon, lat."""
-    own = assets(spark, d).filter("object_role = 'device_node'").select("dv", "feature_id", "asset_id", "asset_type", "category", "network_family", "site_id", "source_name")
-    return points(spark, d).join(own, ["dv", "feature_id"])
+    own = assets(spark, d, "dv", "feature_id", "asset_id", "asset_type", "category", "network_family", "site_id", "source_name", "object_role").where("object_role = 'device_node'").drop("object_id", "object_role", "received_at")
+    return of_features(points(spark, d), own)
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """geometry_id, dv, feature_id, line array<struct(lon, lat)> of valid lines with two places at least."""
-    numbers = F.from_json("coordinates", "array<array<string>>")
-    body = F.regexp_extract("geometry", r"(?i)LINESTRING\s*(?:ZM|Z|M)?\s*\((.*)\)", 1)
-    wkt = F.transform(F.split(body, ","), lambda p: F.split(F.trim(p), r"\s+"))
-    path = F.when(geo.has_coordinates("coordinates"), numbers).otherwise(F.when(body != "", wkt))
-    place = lambda p: F.struct(F.try_element_at(p, F.lit(1)).try_cast("double").alias("lon"), F.try_element_at(p, F.lit(2)).try_cast("double").alias("lat"))
-    rows = geometries(spark, d).filter("valid and kind = 'linestring'").select("geometry_id", "dv", "feature_id", F.explode(F.array(F.transform(path, place))).alias("line"))
-    return rows.filter((F.size("line") >= 2) & F.forall("line", lambda p: geo.position_valid(p["lon"], p["lat"])))
+    return _placed(spark, d, "linestring", f"explode(array({geo.LINE_SQL})) as line", f"size(line) >= 2 and forall(line, p -> coalesce({geo.valid_sql('p.lon', 'p.lat')}, false))")
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
+def edges(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Edges of the first store: edge_id, dv, source_id, target_id, verification, direction, family, length."""
-    rows = read(spark, d, "graph_edges").filter(F.lower(trimmed("store")) == "postgres")
-    ids = [id_or_empty(a).alias(b) for a, b in (("dataset_version_id", "dv"),)]
-    rows = rows.select(
-        norm_id("edge_id").alias("edge_id"), *ids, norm_id("source_node_id").alias("source_id"), norm_id("target_node_id").alias("target_id"), norm_id("relation_id").alias("relation_id"),
-        text_or_empty("verification_status").alias("verification"), text_or_empty("direction").alias("direction"), text_or_empty("network_family").alias("family"), F.col("length_meters").alias("length"), "received_at",
-    )
-    return first_deliveries(rows, ["edge_id"], "received_at")
+    return _records(spark, d, "graph_edges", "edge_id", _EDGES, columns, f"lower({trim_sql('store')}) = 'postgres'")
 
 
-def graph(spark: SparkSession, d: str) -> DataFrame:
+def graph(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Confirmed edges with both ends, no loops."""
-    return edges(spark, d).filter("verification = 'confirmed' and source_id is not null and target_id is not null and source_id != target_id")
+    held = edges(spark, d, *dict.fromkeys(("verification", "source_id", "target_id", *columns))) if columns else edges(spark, d)
+    return held.where("verification = 'confirmed' and source_id is not null and target_id is not null and source_id != target_id")
 
 
-def candidates(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "topology_candidates").select(
-        norm_id("candidate_id").alias("candidate_id"), id_or_empty("dataset_version_id").alias("dv"), norm_id("source_endpoint_id").alias("endpoint_id"), norm_id("target_asset_id").alias("target_id"), id_or_empty("site_id").alias("site_id"),
-        *[text_or_empty(c).alias(c) for c in ("candidate_type", "network_family", "candidate_status", "proposal_status")], "score", F.col("distance_meters").alias("distance"), "received_at",
-    )
-    return first_deliveries(rows, ["candidate_id"], "received_at")
+def candidates(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return _records(spark, d, "topology_candidates", "candidate_id", _CANDIDATES, columns)
 
 
-def interfaces(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "topology_interfaces").select(
-        norm_id("interface_id").alias("interface_id"), id_or_empty("dataset_version_id").alias("dv"), norm_id("owner_asset_id").alias("owner_id"), norm_id("component_id").alias("component_id"),
-        *[text_or_empty(c).alias(c) for c in ("interface_type", "service_domain", "media_type", "direction", "status")], "capacity", "occupancy", "is_proxy", "received_at",
-    )
-    return first_deliveries(rows, ["interface_id"], "received_at")
+def interfaces(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return _records(spark, d, "topology_interfaces", "interface_id", _INTERFACES, columns)
 
 
 _WS = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(8195) || chr(12288)"

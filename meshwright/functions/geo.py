@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .ids import trimmed
+from .ids import trim_sql, trimmed
 
 #: Mean radius of the earth in metres.
 EARTH_RADIUS = 6_371_008.8
@@ -61,6 +61,26 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return 2 * EARTH_RADIUS * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
 
 
+def haversine_sql(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
+    """SQL of ``haversine``."""
+    return f"2 * {EARTH_RADIUS}D * asin(least(1D, sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2D) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2D))))"
+
+
+def valid_sql(lon: str, lat: str) -> str:
+    """SQL of ``position_valid``; a null is false in a filter."""
+    return f"({lon} between -180D and 180D and {lat} between -90D and 90D)"
+
+
+HAS_COORDINATES_SQL = rf"coalesce(regexp_replace({trim_sql('coordinates')}, r'\s', '') != '[]', false)"
+_PLACE = "named_struct('lon', try_cast(try_element_at({0}, 1) as double), 'lat', try_cast(try_element_at({0}, 2) as double))"
+_POINT_WKT = r"r'(?i)^\s*(?:SRID\s*=\s*\d+\s*;)?\s*POINT\s*(?:ZM|Z|M)?\s*\(\s*([^\s,)]+)\s+([^\s,)]+)[^,)]*\)'"
+_LINE_WKT = r"regexp_extract(geometry, r'(?i)LINESTRING\s*(?:ZM|Z|M)?\s*\((.*)\)', 1)"
+#: The place of a point out of ``coordinates``, or ``geometry`` where that has no value, as struct(lon, lat).
+POINT_SQL = f"case when {HAS_COORDINATES_SQL} then {_PLACE.format("from_json(coordinates, 'array<string>')")} else named_struct('lon', try_cast(regexp_extract(geometry, {_POINT_WKT}, 1) as double), 'lat', try_cast(regexp_extract(geometry, {_POINT_WKT}, 2) as double)) end"
+#: The places of a line likewise, as an array.
+LINE_SQL = rf"transform(case when {HAS_COORDINATES_SQL} then from_json(coordinates, 'array<array<string>>') when {_LINE_WKT} != '' then transform(split({_LINE_WKT}, ','), p -> split(trim(p), r'\s+')) end, p -> {_PLACE.format('p')})"
+
+
 def morton(lon: Column, lat: Column) -> Column:
     """Z-order of a place: the bits of 28-bit longitude and latitude, interleaved."""
 

@@ -76,6 +76,19 @@ def _levels(tails: np.ndarray, heads: np.ndarray, starts: np.ndarray, n: int, mo
     return hops
 
 
+def _labels(one: np.ndarray, two: np.ndarray, n: int) -> np.ndarray:
+    """The least of 0..n-1 that each is linked to."""
+    label = np.arange(n)
+    while len(one):
+        x, y = label[one], label[two]
+        apart = x != y
+        one, two, low, high = one[apart], two[apart], np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
 def _numbered(*columns: pa.Array) -> tuple[pa.Array, list[np.ndarray]]:
     """Sorted distinct texts, and the columns as their numbers."""
     whole = pa.concat_arrays(list(columns)).dictionary_encode()
@@ -152,14 +165,7 @@ def components(edges: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         scope, a, b = (_text(table, c) for c in ("scope", "a", "b"))
         names, (one, two) = _numbered(pc.binary_join_element_wise(scope, a, _SEP), pc.binary_join_element_wise(scope, b, _SEP))
-        label = np.arange(len(names))
-        while len(one):
-            x, y = label[one], label[two]
-            apart = x != y
-            one, two, low, high = one[apart], two[apart], np.minimum(x, y)[apart], np.maximum(x, y)[apart]
-            np.minimum.at(label, high, low)
-            while (label[label] != label).any():
-                label = label[label]
+        label = _labels(one, two, len(names))
         own, least = pc.split_pattern(names, _SEP, max_splits=1), pc.split_pattern(names.take(pa.array(label)), _SEP, max_splits=1)
         return pa.table([pc.list_element(own, 0), pc.list_element(own, 1), pc.list_element(least, 1)], names=["scope", "node", "component"])
 
@@ -180,6 +186,94 @@ def components(edges: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
             return found.unionByName(labels)
 
 
+# --- walks from the roots of components, in one pass ----------------------------
+
+
+def _first_of(group: np.ndarray, *rank: np.ndarray) -> np.ndarray:
+    """Positions of the row of least rank in each group."""
+    order = np.lexsort((*rank[::-1], group))
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = group[order][1:] != group[order][:-1]
+    return order[first]
+
+
+def _rooted(tail: np.ndarray, head: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Component and degree of each of n nodes, and the components' roots: the node of most edges, the least among equals."""
+    label, degree = _labels(tail, head, n), np.bincount(np.concatenate([tail, head]), minlength=n)
+    return label, degree, _first_of(label, -degree, np.arange(n))
+
+
+def _both(tail: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([tail, head]), np.concatenate([head, tail])
+
+
+def _cut_off(tail: np.ndarray, head: np.ndarray, n: int) -> np.ndarray:
+    """Nodes that the root of their component no longer reaches once its best linked neighbour is gone."""
+    label, degree, roots = _rooted(tail, head, n)
+    tail, head = _both(tail, head)
+    from_root = np.isin(tail, roots) & (tail != head)
+    a, b = tail[from_root], head[from_root]
+    failed = np.zeros(n, dtype=bool)
+    failed[b[_first_of(label[a], -degree[b], b)]] = True
+    safe = ~(failed[tail] | failed[head])
+    after = _levels(tail[safe], head[safe], roots[~failed[roots]], n, None)
+    return np.flatnonzero((after < 0) & ~failed)
+
+
+def _edges_of(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    scope, a, b = (_text(table, c) for c in ("scope", "a", "b"))
+    names, (tail, head) = _numbered(pc.binary_join_element_wise(scope, a, _SEP), pc.binary_join_element_wise(scope, b, _SEP))
+    return names, tail, head
+
+
+def survey(edges: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(scope, node, component, degree, root, hops) of all nodes of edges (scope, a, b): what ``components``, ``degrees``, ``roots`` and ``reach`` tell, whatever the directions, in one pass over each scope."""
+    small, large, total = _split(stage(edges.filter("a is not null and b is not null").select("scope", "a", "b")), block_rows)
+
+    def run(table: pa.Table) -> pa.Table:
+        names, tail, head = _edges_of(table)
+        n = len(names)
+        label, degree, roots = _rooted(tail, head, n)
+        root_of = np.zeros(n, dtype=np.int64)
+        root_of[label[roots]] = roots
+        hops = _levels(*_both(tail, head), roots, n, None)
+        parts = pc.split_pattern(names, _SEP, max_splits=1)
+        scope, node = pc.list_element(parts, 0), pc.list_element(parts, 1)
+        return pa.table([scope, node, node.take(pa.array(label)), pa.array(degree.astype(np.int64)), node.take(pa.array(root_of[label])), pa.array(hops.astype(np.int32))], names=["scope", "node", "component", "degree", "root", "hops"])
+
+    found = _whole(small, total, block_rows, run, "scope string, node string, component string, degree long, root string, hops int")
+    if large is None:
+        return found
+    large = stage(large)
+    parts = stage(components(large, block_rows))
+    degree = stage(degrees(large, parts.select("scope", "node")))
+    starts = stage(roots(degree, parts))
+    hops = reach(both_ways(large), starts.select("scope", "node"), block_rows=block_rows)
+    named = parts.join(starts.withColumnRenamed("node", "root"), ["scope", "component"]).join(degree, ["scope", "node"]).join(hops, ["scope", "node"])
+    return found.unionByName(named.select("scope", "node", "component", F.col("degree").cast("long").alias("degree"), "root", "hops"))
+
+
+def root_failures(edges: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(scope, node): what the root of each component of edges (scope, a, b) no longer reaches when its neighbour of most edges (the least among equals) fails, whatever the directions."""
+    small, large, total = _split(stage(edges.filter("a is not null and b is not null").select("scope", "a", "b")), block_rows)
+
+    def run(table: pa.Table) -> pa.Table:
+        names, tail, head = _edges_of(table)
+        parts = pc.split_pattern(names.take(pa.array(_cut_off(tail, head, len(names)))), _SEP, max_splits=1)
+        return pa.table([pc.list_element(parts, 0), pc.list_element(parts, 1)], names=["scope", "node"])
+
+    found = _whole(small, total, block_rows, run, "scope string, node string")
+    if large is None:
+        return found
+    large = stage(large)
+    known = stage(survey(large, block_rows))
+    arcs = stage(both_ways(large).distinct())
+    start = known.filter("node = root").select("scope", F.col("node").alias("a"), "component")
+    near = arcs.filter("a != b").join(start, ["scope", "a"]).select("scope", "component", F.col("b").alias("node")).join(known.select("scope", "node", "degree"), ["scope", "node"])
+    failed = near.groupBy("scope", "component").agg(F.min(F.struct((-F.col("degree")).alias("d"), "node")).alias("m")).select("scope", F.col("m.node").alias("node"))
+    return found.unionByName(impact(arcs, start.select("scope", F.col("a").alias("node")), stage(failed), block_rows))
+
+
 # --- what is built on them ------------------------------------------------------
 
 

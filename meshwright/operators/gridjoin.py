@@ -22,51 +22,55 @@ from ..functions import geo
 
 _DEGREE = math.pi * geo.EARTH_RADIUS / 180
 #: Longest piece, in cells, into which a segment is cut before cells are listed.
-PIECE_CELLS = 4
+PIECE_CELLS = 2
 
 
-def _row(lat: Column, cell: float) -> Column:
-    return F.floor(lat * _DEGREE / cell).cast("long")
+def _row(lat: str, cell: float) -> str:
+    return f"cast(floor({lat} * {_DEGREE / cell!r}D) as bigint)"
 
 
-def _cells_in_row(row: Column, cell: float) -> Column:
+def _cells_in_row(row: str, cell: float) -> str:
     """Number of cells around the earth in a row; its widest parallel tells."""
-    low, high = F.abs(row * (cell / _DEGREE)), F.abs((row + 1) * (cell / _DEGREE))
-    cosine = F.cos(F.radians(F.least(F.greatest(low, high) + 1e-9, F.lit(90.0))))
-    return F.greatest(F.floor(360 * _DEGREE * F.greatest(cosine, F.lit(0.0)) / cell), F.lit(1)).cast("long")
+    parallel = f"least(greatest(abs({row} * {cell / _DEGREE!r}D), abs(({row} + 1) * {cell / _DEGREE!r}D)) + 1e-9D, 90D)"
+    return f"cast(greatest(floor({360 * _DEGREE / cell!r}D * greatest(cos(radians({parallel})), 0D)), 1) as bigint)"
 
 
-def _column_at(lon: Column, count: Column) -> Column:
-    return F.floor((lon + 180) / 360 * count).cast("long")
+def _column_at(lon: str, count: str) -> str:
+    return f"cast(floor(({lon} + 180D) / 360D * {count}) as bigint)"
 
 
 def in_cell(df: DataFrame, cell: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """``df`` with the cell (_row, _col) of its place."""
-    valid = df.filter(geo.position_valid(F.col(lon), F.col(lat))).withColumn("_row", _row(F.col(lat), cell))
-    count = _cells_in_row(F.col("_row"), cell)
-    return valid.withColumn("_col", F.pmod(_column_at(F.col(lon), count), count))
+    rows = df.where(geo.valid_sql(lon, lat)).selectExpr("*", f"{_row(lat, cell)} as _row")
+    count = _cells_in_row("_row", cell)
+    return rows.selectExpr("*", f"pmod({_column_at(lon, count)}, {count}) as _col")
 
 
-def covered_cells(df: DataFrame, cell: float, west: Column, south: Column, east: Column, north: Column, reach: float) -> DataFrame:
+def covered_cells(df: DataFrame, cell: float, west: str, south: str, east: str, north: str, reach: float) -> DataFrame:
     """``df`` once for each cell within ``reach`` metres of its box."""
-    up = reach / _DEGREE
-    rows = df.withColumn("_row", F.explode(F.sequence(_row(F.greatest(south - up, F.lit(-90.0)), cell), _row(F.least(north + up, F.lit(90.0)), cell))))
-    count = _cells_in_row(F.col("_row"), cell)
+    up = repr(reach / _DEGREE)
+    rows = df.selectExpr("*", f"explode(sequence({_row(f'greatest({south} - {up}D, -90D)', cell)}, {_row(f'least({north} + {up}D, 90D)', cell)})) as _row")
+    rows = rows.selectExpr("*", f"{_cells_in_row('_row', cell)} as _count")
     # Within a row, cells are never narrower than ``cell`` metres except where one cell is the whole row.
-    aside = F.lit(math.ceil(reach / cell)).cast("long")
-    low, high = _column_at(west, count) - aside, _column_at(east, count) + aside
-    whole = high - low + 1 >= count
-    return rows.withColumn("_col", F.explode(F.when(whole, F.sequence(F.lit(0).cast("long"), count - 1)).otherwise(F.transform(F.sequence(low, high), lambda c: F.pmod(c, count)))))
+    aside = math.ceil(reach / cell)
+    rows = rows.selectExpr("*", f"{_column_at(west, '_count')} - {aside}L as _low", f"{_column_at(east, '_count')} + {aside}L as _high")
+    listed = rows.selectExpr("*", "explode(case when _high - _low + 1 >= _count then sequence(0L, _count - 1) else sequence(_low, _high) end) as _at")
+    return listed.selectExpr("*", "pmod(_at, _count) as _col").drop("_count", "_low", "_high", "_at")
 
 
 def near_points(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """Pairs of ``left`` (scope, left_id, lon, lat) and ``right`` (scope, right_id, lon, lat) within ``radius`` metres, with ``distance``."""
+    """Pairs of ``left`` (scope, left_id, lon, lat, any others) and ``right`` (scope, right_id, lon, lat, any others) within ``radius`` metres, with ``distance``.
+
+    Other columns are carried along; their names must differ between the sides.
+    """
     cell = max(radius, 1.0)
-    a = left.select(F.coalesce("scope", F.lit("")).alias("scope"), "left_id", F.col("lon").alias("lon1"), F.col("lat").alias("lat1")).filter(geo.position_valid(F.col("lon1"), F.col("lat1")))
-    a = covered_cells(a, cell, F.col("lon1"), F.col("lat1"), F.col("lon1"), F.col("lat1"), radius)
-    b = in_cell(right.select(F.coalesce("scope", F.lit("")).alias("scope"), "right_id", "lon", "lat"), cell)
-    pairs = a.join(b, ["scope", "_row", "_col"]).withColumn("distance", geo.haversine(F.col("lon1"), F.col("lat1"), F.col("lon"), F.col("lat")))
-    return pairs.filter(F.col("distance") <= radius).select("scope", "left_id", "right_id", "distance")
+    own = lambda df, named: [c for c in df.columns if c not in ("scope", named, "lon", "lat")]
+    others = [*own(left, "left_id"), *own(right, "right_id")]
+    a = left.selectExpr("coalesce(scope, '') as scope", "left_id", "lon as lon1", "lat as lat1", *own(left, "left_id")).where(geo.valid_sql("lon1", "lat1"))
+    a = covered_cells(a, cell, "lon1", "lat1", "lon1", "lat1", radius)
+    b = in_cell(right.selectExpr("coalesce(scope, '') as scope", "right_id", "lon", "lat", *own(right, "right_id")), cell)
+    met = a.join(b, ["scope", "_row", "_col"]).selectExpr("scope", "left_id", "right_id", f"{geo.haversine_sql('lon1', 'lat1', 'lon', 'lat')} as distance", *others)
+    return met.where(f"distance <= {radius!r}D")
 
 
 def nearest(pairs: DataFrame, keep: int = 2) -> DataFrame:
@@ -83,17 +87,29 @@ def unique_nearest(pairs: DataFrame, margin: float, ratio: float) -> DataFrame:
     return first.withColumn("is_unique", F.coalesce(apart, F.lit(True)))
 
 
+_TURNED = "{a} + ({b} - {a}) - 360D * round(({b} - {a}) / 360D)"
+
+
+def _segments(lines: DataFrame) -> DataFrame:
+    """(scope, line_id, seg, ax, ay, bx, by) of lines (scope, line_id, line)."""
+    pairs = "inline(transform(sequence(1, size(line) - 1), i -> named_struct('seg', i - 1, 'a', line[i - 1], 'b', line[i])))"
+    flat = lines.where("size(line) >= 2").selectExpr("scope", "line_id", pairs)
+    return flat.selectExpr("scope", "line_id", "seg", "a.lon as ax", "a.lat as ay", f"{_TURNED.format(a='a.lon', b='b.lon')} as bx", "b.lat as by")
+
+
 def segments(lines: DataFrame) -> DataFrame:
     """(scope, line_id, seg, ax, ay, bx, by, length, measure) of lines (scope, line_id, line): each segment and where it begins along its line.
 
     A segment runs the short way round, so ``bx`` may lie beyond 180 degrees.
     """
-    pairs = F.transform(F.sequence(F.lit(1), F.size("line") - 1), lambda i: F.struct((i - 1).alias("seg"), F.get("line", i - 1).alias("a"), F.get("line", i).alias("b")))
-    flat = lines.filter(F.size("line") >= 2).select("scope", "line_id", F.inline(pairs))
-    flat = flat.select("scope", "line_id", "seg", F.col("a.lon").alias("ax"), F.col("a.lat").alias("ay"), (F.col("a.lon") + geo.turned(F.col("b.lon") - F.col("a.lon"))).alias("bx"), F.col("b.lat").alias("by"))
-    flat = flat.withColumn("length", geo.haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
-    before = Window.partitionBy("scope", "line_id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-    return flat.withColumn("measure", F.coalesce(F.sum("length").over(before), F.lit(0.0)))
+    flat = _segments(lines).selectExpr("*", f"{geo.haversine_sql('ax', 'ay', 'bx', 'by')} as length")
+    return flat.selectExpr("*", "coalesce(sum(length) over (partition by scope, line_id order by seg rows between unbounded preceding and 1 preceding), 0D) as measure")
+
+
+def _length_sql(upto: str) -> str:
+    """SQL of the length of ``line`` up to its place number ``upto`` (from 0)."""
+    step = geo.haversine_sql("line[i - 1].lon", "line[i - 1].lat", "line[i].lon", "line[i].lat")
+    return f"case when {upto} > 0 then aggregate(sequence(1, {upto}), 0D, (s, i) -> s + {step}) else 0D end"
 
 
 def line_ends(lines: DataFrame) -> DataFrame:
@@ -105,36 +121,38 @@ def line_ends(lines: DataFrame) -> DataFrame:
 
 def _in_cells(segs: DataFrame, cell: float, reach: float) -> DataFrame:
     """Segments in pieces of a few cells, each in all cells within reach, so long ones don't fill their whole box."""
-    span = F.greatest(F.abs(F.col("by") - F.col("ay")) * _DEGREE, F.abs(F.col("bx") - F.col("ax")) * _DEGREE)
-    pieces = F.greatest(F.ceil(span / (PIECE_CELLS * cell)), F.lit(1)).cast("int")
-    cut = segs.withColumn("_n", pieces).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    at = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) * (k / F.col("_n"))
-    x0, x1, y0, y1 = at("ax", "bx", F.col("_k")), at("ax", "bx", F.col("_k") + 1), at("ay", "by", F.col("_k")), at("ay", "by", F.col("_k") + 1)
-    return covered_cells(cut, cell, F.least(x0, x1), F.least(y0, y1), F.greatest(x0, x1), F.greatest(y0, y1), reach).drop("_n", "_k")
+    cut = segs.selectExpr("*", f"cast(greatest(ceil(greatest(abs(by - ay), abs(bx - ax)) * {_DEGREE / (PIECE_CELLS * cell)!r}D), 1) as int) as _n").selectExpr("*", "explode(sequence(0, _n - 1)) as _k")
+    at = lambda a, b, k: f"{a} + ({b} - {a}) * (({k}) / _n)"
+    ends = {"x0": at("ax", "bx", "_k"), "x1": at("ax", "bx", "_k + 1"), "y0": at("ay", "by", "_k"), "y1": at("ay", "by", "_k + 1")}
+    cut = cut.selectExpr("*", *[f"{v} as _{k}" for k, v in ends.items()]).drop("_n", "_k")
+    covered = covered_cells(cut, cell, "least(_x0, _x1)", "least(_y0, _y1)", "greatest(_x0, _x1)", "greatest(_y0, _y1)", reach)
+    return covered.drop("_x0", "_x1", "_y0", "_y1")
 
 
-def points_on_lines(points: DataFrame, lines: DataFrame, radius: float, cell: float = 50.0) -> DataFrame:
+def points_on_lines(points: DataFrame, lines: DataFrame, radius: float, cell: float | None = None) -> DataFrame:
     """(scope, line_id, point_id, distance, measure, to_start, to_end): points within ``radius`` metres of a line, at the nearest place of it.
 
     The nearest of equally near segments is the first. ``measure`` is metres
-    along the line, ``to_end`` what is left of it.
+    along the line, ``to_end`` what is left of it. Both are worked out for the
+    lines that are met only, so segments need no running sums.
     """
-    segs = segments(lines)
-    total = Window.partitionBy("scope", "line_id")
-    segs = segs.withColumn("total", F.sum("length").over(total))
-    place = in_cell(points.select(F.coalesce("scope", F.lit("")).alias("scope"), "point_id", "lon", "lat"), cell)
-    met = _in_cells(segs, cell, radius).join(place, ["scope", "_row", "_col"]).drop("_row", "_col")
-    px, py = geo.local_metres(F.col("lon"), F.col("lat"), F.col("ax"), F.col("ay"), F.col("lat"))
-    bx, by = geo.local_metres(F.col("bx"), F.col("by"), F.col("ax"), F.col("ay"), F.col("lat"))
-    t, square = geo.project(px, py, F.lit(0.0), F.lit(0.0), bx, by)
-    met = met.withColumn("distance", F.sqrt(square)).withColumn("measure", F.col("measure") + t * F.col("length")).filter(F.col("distance") <= radius)
-    best = met.groupBy("scope", "line_id", "point_id").agg(F.min(F.struct("distance", "seg", "measure", "total")).alias("m"))
-    return best.select("scope", "line_id", "point_id", "m.distance", "m.measure", F.col("m.measure").alias("to_start"), (F.col("m.total") - F.col("m.measure")).alias("to_end"))
+    cell = cell or max(4 * radius, 5.0)
+    lines = lines.selectExpr("coalesce(scope, '') as scope", "line_id", "line")
+    place = in_cell(points.selectExpr("coalesce(scope, '') as scope", "point_id", "lon", "lat"), cell)
+    met = _in_cells(_segments(lines), cell, radius).join(place, ["scope", "_row", "_col"])
+    east = lambda x: f"radians(({x} - ax) - 360D * round(({x} - ax) / 360D)) * {geo.EARTH_RADIUS}D * cos(radians(lat))"
+    north = lambda y: f"radians({y} - ay) * {geo.EARTH_RADIUS}D"
+    met = met.selectExpr("scope", "line_id", "point_id", "seg", f"{east('lon')} as px", f"{north('lat')} as py", f"{east('bx')} as qx", f"{north('by')} as qy")
+    met = met.selectExpr("scope", "line_id", "point_id", "seg", "px", "py", "qx", "qy", "case when qx * qx + qy * qy > 0 then least(greatest((px * qx + py * qy) / (qx * qx + qy * qy), 0D), 1D) else 0D end as t")
+    met = met.selectExpr("scope", "line_id", "point_id", "seg", "t", "sqrt((px - t * qx) * (px - t * qx) + (py - t * qy) * (py - t * qy)) as distance").where(f"distance <= {radius!r}D")
+    best = met.groupBy("scope", "line_id", "point_id").agg(F.expr("min(struct(distance, seg, t)) as m"))
+    told = best.join(lines, ["scope", "line_id"]).selectExpr("scope", "line_id", "point_id", "m.distance", f"{_length_sql('m.seg')} as s0", f"{_length_sql('m.seg + 1')} as s1", f"{_length_sql('size(line) - 1')} as total", "m.t as t")
+    return told.selectExpr("scope", "line_id", "point_id", "distance", "s0 + t * (s1 - s0) as measure", "s0 + t * (s1 - s0) as to_start", "total - (s0 + t * (s1 - s0)) as to_end")
 
 
 def crossings(lines: DataFrame, cell: float = 50.0, digits: int = 9) -> DataFrame:
     """(scope, first_line, second_line, lon, lat): places where two lines of a scope cross, rounded; each place once."""
-    covered = _in_cells(segments(lines).drop("length", "measure"), cell, 0.0)
+    covered = _in_cells(_segments(lines), cell, 0.0)
     a, b = covered.alias("a"), covered.alias("b")
     on = (F.col("a.scope") == F.col("b.scope")) & (F.col("a._row") == F.col("b._row")) & (F.col("a._col") == F.col("b._col")) & (F.col("a.line_id") < F.col("b.line_id"))
     turn = F.col("a.ax") + geo.turned(F.col("b.ax") - F.col("a.ax")) - F.col("b.ax")  # both on one side of the date line
@@ -145,7 +163,7 @@ def crossings(lines: DataFrame, cell: float = 50.0, digits: int = 9) -> DataFram
 
 def overlaps(lines: DataFrame, cell: float = 50.0) -> DataFrame:
     """(scope, first_line, second_line): lines of which two segments lie on one line and share a stretch of it."""
-    covered = _in_cells(segments(lines).drop("length", "measure"), cell, 0.0)
+    covered = _in_cells(_segments(lines), cell, 0.0)
     a, b = covered.alias("a"), covered.alias("b")
     on = (F.col("a.scope") == F.col("b.scope")) & (F.col("a._row") == F.col("b._row")) & (F.col("a._col") == F.col("b._col")) & (F.col("a.line_id") < F.col("b.line_id"))
     turn = F.col("a.ax") + geo.turned(F.col("b.ax") - F.col("a.ax")) - F.col("b.ax")
