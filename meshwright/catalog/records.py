@@ -70,7 +70,7 @@ _T = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || c
 SQL = {
     "asset_detail": sql_with("assets", "graph", "candidates", "interfaces") + ", b as (select distinct dv, asset_id from assets where asset_type = 'junction_box'), p as (select dv, owner_id as asset_id, count(*) as n_interfaces, sum(occupancy)::bigint as occupied, sum(capacity)::bigint as capacity from interfaces group by all), e as (select dv, asset_id, count(*) as n_edges from (select dv, source_id as asset_id from graph union all select dv, target_id from graph) group by all), c as (select dv, target_id as asset_id, count(*) as n_candidates from candidates where candidate_status in ('candidate', 'ambiguous') group by all) select dv, asset_id, coalesce(n_interfaces, 0) as n_interfaces, coalesce(occupied, 0) as occupied, coalesce(capacity, 0) as capacity, coalesce(n_edges, 0) as n_edges, coalesce(n_candidates, 0) as n_candidates from b left join p using (dv, asset_id) left join e using (dv, asset_id) left join c using (dv, asset_id)",
     "expanded_ports": sql_with("interfaces") + " select interface_id, owner_id || '/interface/' || replace(replace(interface_type, '_', ' '), ' ', '-') || '/' || lpad(i::varchar, 2, '0') as port_id from (select *, unnest(range(1, capacity + 1)) as i from interfaces where status = 'active' and owner_id is not null and capacity > 0)",
-    "stable_ids": sql_with("assets") + """, r as (select dv, source_name, min(asset_id) as low, max(asset_id) as high from assets where len(source_name) % 2 = 0 and source_name <> '' group by all), m as (select object_id, a.dv, case when object_role <> 'cable_path' then nullif(asset_id, '') end as given, feature_id, low, high from assets a left join r on r.dv = a.dv and r.source_name = a.source_name)
+    "stable_ids": sql_with("assets") + """, r as (select dv, source_name, min(asset_id) as low, max(asset_id) as high from assets where source_name <> '' group by all), m as (select object_id, a.dv, case when object_role <> 'cable_path' then nullif(asset_id, '') end as given, feature_id, low, high from assets a left join r on r.dv = a.dv and r.source_name = a.source_name)
       select object_id, case when given is not null then given when low = high then low when low is null then 'AUTO-' || upper(substr(sha256(dv || '|feature|' || feature_id), 1, 24)) end as stable_id, case when given is not null then 'given' when low <> high then 'conflict' when low is not null then 'registry' else 'made' end as status from m""",
     "document_fields": f"with p as (select nullif(lower(trim(dataset_version_id, {_T})), '') as dv, min(payload) as payload from dataset_versions where lower(trim(store)) = 'postgres' group by 1), f as (select dv, unnest([('n_assets', payload ->> '$.summary.totalAssets'), ('n_errors', payload ->> '$.summary.errors'), ('n_points', payload ->> '$.summary.totalPoints')]) as x from p) select dv, x[1] as field_name, x[2] as value from f where x[2] is not null",
     "store_parity": f"with r as (select distinct lower(trim(store)) as store, coalesce(lower(trim(dataset_version_id, {_T})), '') as dv, coalesce(lower(trim(edge_id, {_T})), '') as e, coalesce(lower(trim(source_node_id, {_T})), '') as s, coalesce(lower(trim(target_node_id, {_T})), '') as t, coalesce(trim(network_family, {_T}), '') as f from graph_edges), h as (select dv, store, sha256('[\"' || e || '\",\"' || s || '\",\"' || t || '\",\"' || f || '\"]') as h from r), q as (select dv, store, count(*) as n_rows, {_HASH} from h group by all) select dv, max((s0, s1, s2, s3, n_rows)) filter (store = 'postgres') is not distinct from max((s0, s1, s2, s3, n_rows)) filter (store = 'json') as same, sum(n_rows)::bigint as n_rows from q group by dv",
