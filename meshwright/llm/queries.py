@@ -36,10 +36,18 @@ def _terms(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "classified_objects").select(id_or_empty("classified_object_id").alias("id"), F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in FIELDS])))
-    found = vocabulary.map_values(rows, _terms(spark, d))
+    found = vocabulary.map_values(rows, _terms(spark, d), known=((), ()))
     return found.select(F.col("id").alias("classified_object_id"), "field_name", "canonical_value")
 
 
+def p7_exact(spark: SparkSession, d: str) -> DataFrame:
+    """What the operator finds for values that are an entry, its label or an alias, whatever their letter case."""
+    rows = read(spark, d, "classified_objects").select(id_or_empty("classified_object_id").alias("id"), F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in FIELDS])))
+    names = _terms(spark, d).select("field_name", F.explode(F.concat(F.array("canonical_value"), F.col("names"))).alias("name")).select("field_name", F.lower("name").alias("name")).distinct()
+    named = rows.withColumn("name", F.lower(trimmed("value"))).join(F.broadcast(names), ["field_name", "name"], "left_semi").select("id", "field_name", "value").distinct()
+    return vocabulary.map_values(named, _terms(spark, d)).select(F.col("id").alias("classified_object_id"), "field_name", "canonical_value")
+
+
 TOKENIZER = "byte_bpe_50k"
 
 
@@ -67,7 +75,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(read(spark, d, "documents"), read(spark, d, "split_limits"))
 
 
-QUERIES = {"p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
+QUERIES = {"p6_found": p6_found, "p7_found": p7_found, "p7_exact": p7_exact, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
 
 _WS = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(8195) || chr(12288)"
 
@@ -77,6 +85,13 @@ def _id(column: str) -> str:
 
 
 SQL = {
+    "p7_exact": f"""
+with v as (
+  select distinct coalesce({_id('classified_object_id')}, '') as id, f as field_name, value from (select classified_object_id, unnest([{{'f': 'asset_type', 'value': asset_type}}, {{'f': 'category', 'value': category}}, {{'f': 'jb_profile_id', 'value': jb_profile_id}}], recursive := true) from classified_objects)
+), n as (
+  select field_name, lower(unnest([canonical_value, label] || coalesce(aliases, []))) as name, canonical_value from vocabulary_terms where canonical_value is not null
+), t as (select field_name, name, min(canonical_value) as canonical_value from n where name is not null group by all)
+select v.id as classified_object_id, v.field_name, t.canonical_value from v join t on t.field_name = v.field_name and t.name = lower(trim(v.value, {_WS})) where v.value not in (select canonical_value from vocabulary_terms x where x.field_name = v.field_name and canonical_value is not null)""",
     "p6_found": f"""
 with recursive pairs as (
   select coalesce({_id('dataset_version_id')}, '') as dv, {_id('source_endpoint_id')} as a, {_id('target_asset_id')} as b from topology_candidates where lower(trim(candidate_status)) = 'confirmed'
