@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lookups import HOT_ROWS, lookup
-from ..plans.staging import stage
+from ..plans.staging import BROADCAST_ROWS, stage
 
-CELL_PAIRS = 200_000
+CELL_PAIRS = 100_000
 
 
 def union_find(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -80,9 +80,9 @@ def components(pairs: DataFrame, cell_pairs: int = CELL_PAIRS, hot_rows: int = H
         block = lambda c, side=side: F.pmod(F.xxhash64(c), F.lit(side))
         cells = current.withColumn("cell", F.least(block("a"), block("b")) * side + F.greatest(block("a"), block("b")))
         parts = side * (side + 1) // 2
-        counts = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (2 * cell_pairs)).alias("salts"))  # at most side * side rows
-        salted = cells.join(F.broadcast(counts), "cell") if side > 1 and side * side < 1_000_000 else cells.withColumn("salts", F.lit(1))
-        spread = salted.withColumn("salt", F.pmod(F.xxhash64("b", "a"), F.col("salts")))
+        full = stage(cells.groupBy("cell").count().filter(F.col("count") > 2 * cell_pairs).select("cell", F.ceil(F.col("count") / (2 * cell_pairs)).alias("salts")))  # cells with a hot vertex only
+        salted = cells.join(F.broadcast(full) if full.count() <= BROADCAST_ROWS else full, "cell", "left") if full.take(1) else cells.withColumn("salts", F.lit(None).cast("long"))
+        spread = salted.withColumn("salt", F.pmod(F.xxhash64("b", "a"), F.coalesce("salts", F.lit(1))))
         found = spread.repartition(parts, "cell", "salt").select("a", "b").mapInArrow(_cell, "v string, r string")
         joined = stage(found.groupBy("v").agg(F.array_sort(F.collect_set("r")).alias("rs")))
         rounds.append(joined.select("v", F.col("rs")[0].alias("p")))
