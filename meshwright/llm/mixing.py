@@ -26,6 +26,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,7 +63,14 @@ class Rounder:
     """Undecided texts by (mix, source); gives out decided ones."""
 
     def __init__(self, seed: int):
-        self.seed, self.open = seed, {}
+        self.seed, self.open, self._hashes = seed, {}, {}
+
+    def hashed(self, key: tuple[str, str]) -> tuple[int, int]:
+        """Hashes of a target's names: there are few."""
+        found = self._hashes.get(key)
+        if found is None:
+            found = self._hashes[key] = hash_text(key[0]), hash_text(key[1])
+        return found
 
     def add(self, key: tuple[str, str], doc: int, size: int, base: int, p: float) -> Iterator[tuple]:
         eps = 1e-9
@@ -74,7 +82,7 @@ class Rounder:
             self.open[key] = (doc, size, base, p)
             return
         d, s, b, q = other
-        q, p = trade(q, s, p, size, draw(self.seed, hash_text(key[0]), hash_text(key[1]), d, doc))
+        q, p = trade(q, s, p, size, draw(self.seed, *self.hashed(key), d, doc))
         for one in ((d, s, b, q), (doc, size, base, p)):
             if one[3] <= eps or one[3] >= 1 - eps:
                 yield (*key, one[0], one[1], one[2] + (one[3] > 0.5), None)
@@ -117,6 +125,18 @@ def _rounding(seed: int, task_of):
     return run
 
 
+def _last(seed: int):
+    """Task that draws the texts that are left by their probabilities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn = [int(draw(seed, hash_text(m), hash_text(s), d) < p) for m, s, d, p in zip(*(batch.column(c).to_pylist() for c in ("mix_id", "source", "doc_id", "p")))]
+            copies = pc.add(batch.column("copies"), pa.array(drawn, pa.int64()))
+            yield batch.set_column(batch.schema.get_field_index("copies"), "copies", copies)
+
+    return run
+
+
 def plan(sizes: DataFrame, targets: DataFrame) -> list[tuple]:
     """(mix_id, source, share, max_repeats, tokens of the source, wanted tokens) of each target."""
     rows = targets.limit(TARGET_ROWS + 1).collect()
@@ -162,8 +182,7 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 20240601) -> tuple[Dat
         near = open_.withColumn("task", F.floor(F.col("task") / FAN)).repartitionByRange(groups, "task").sortWithinPartitions("task", "mix_id", "source", "doc_id")
         level = stage(near.mapInArrow(_rounding(seed + 1, lambda: TaskContext.get().partitionId()), _SCHEMA))
         decided.append(level.filter("p is null"))
-    last = F.udf(lambda m, s, d, p: int(draw(seed, hash_text(m), hash_text(s), d) < p), "long")  # at most one row per target
-    decided.append(open_.withColumn("copies", F.col("copies") + last("mix_id", "source", "doc_id", "p")))
+    decided.append(open_.mapInArrow(_last(seed), _SCHEMA))  # at most one row per target
     uses = decided[0]
     for part in decided[1:]:
         uses = uses.unionByName(part)
