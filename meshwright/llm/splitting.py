@@ -12,14 +12,17 @@ Boundaries are places where both a token of the whole text and a character
 end. Pieces and overlaps count as texts of their own, as the same characters can
 make another number of tokens inside the whole: the overlap starts where what
 is shared has just the tokens asked for, or as few more as the places allow,
-and a piece that has too many is cut in two at its strongest boundary.
+and a piece that has too many is cut in two at its strongest boundary. Only the
+words cut at either end of a piece and the white space it ends with can differ
+from the whole, so just those are encoded again; the rest is a difference.
 
 Where: texts are cut where they lie, no shuffle; the time for a text grows with
 its length times the logarithm. The limits are a broadcast table.
 
 Defined results: texts within the limit, empty and null ones have no pieces
-(they need none); an overlap not below the limit is an error. Pieces without
-their overlaps put together are the text.
+(they need none); an overlap not below the limit is an error, and so is a
+character that alone has more tokens than the limit: no piece is ever above it.
+Pieces without their overlaps put together are the text.
 """
 
 from __future__ import annotations
@@ -30,10 +33,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
 from .sizes import ranks_path, tokenizer
+from .words import PATTERN, stretches, word_starts
 
 NONE, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
 #: Characters that end sentences and clauses.
@@ -42,6 +48,8 @@ CLAUSE_ENDS = frozenset(",;:、，；：")
 WIDE_ENDS = frozenset("。！？、，；：")
 CLOSING = "\"')]}»”’"
 LIMITS = 10_000
+#: Different parts of words whose tokens a task keeps.
+HELD_PARTS = 200_000
 
 
 def _table(characters) -> np.ndarray:
@@ -55,6 +63,11 @@ IS_SENTENCE, IS_CLAUSE, IS_WIDE, IS_CLOSING = map(_table, (SENTENCE_ENDS, CLAUSE
 IS_SPACE = _table(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
+_WORD = regex.compile(PATTERN)
+#: White space as the pattern sees it.
+SPACES = frozenset(regex.findall(r"\s", "".join(map(chr, range(0xD800)))))
+
+
 @lru_cache(maxsize=4)
 def token_bytes(encoding: tiktoken.Encoding) -> np.ndarray:
     """Bytes of each token."""
@@ -64,50 +77,120 @@ def token_bytes(encoding: tiktoken.Encoding) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=4)
+def _held_parts(encoding: tiktoken.Encoding) -> dict[str, int]:
+    """Tokens of parts of words met so far."""
+    return {}
+
+
 class Places:
     """Places of a text where it may be cut: token numbers, characters, and the strength of each."""
 
-    def __init__(self, text: str, encoding: tiktoken.Encoding):
-        tokens = encoding.encode_ordinary(text)
-        data = text.encode()
-        ends = np.cumsum(token_bytes(encoding)[tokens]) if tokens else np.zeros(0, dtype=np.int64)
-        first = (np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80  # first bytes of characters
-        chars = np.concatenate([[0], np.cumsum(first)])
-        whole = np.append(first, True)[ends] if len(ends) else np.zeros(0, dtype=bool)
-        self.token = np.concatenate([[0], np.flatnonzero(whole) + 1])
-        self.char = np.concatenate([[0], chars[ends[whole]]]) if len(ends) else np.zeros(1, dtype=np.int64)
-        self.size, self._text, self._strength = len(tokens), text, None
-
-    @property
-    def strength(self) -> np.ndarray:
-        """Weighed when first asked for: texts within the limits don't need it."""
-        if self._strength is None:
-            self._strength = self._weigh(np.minimum(np.frombuffer(self._text.encode("utf-32-le"), dtype=np.uint32), 0xFFFF))
-        return self._strength
-
-    def _weigh(self, codes: np.ndarray) -> np.ndarray:
-        out, n = np.zeros(len(self.token), dtype=np.int8), len(codes)
-        edge = np.diff(IS_SPACE[codes].astype(np.int8), prepend=0, append=0)
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        start, end = start[end < n], end[end < n]
-        # The place of a gap is the last one in it, so that white space stays with what it follows.
-        k = np.searchsorted(self.char, end, side="right") - 1
-        held = (k > 0) & (self.char[k] >= start)
-        start, end, k = start[held], end[held], k[held]
-        count = lambda c: (lambda sums: sums[end] - sums[start])(np.concatenate([[0], np.cumsum(codes == c)]))
-        lines = np.where((feeds := count(10)) > 0, feeds, count(13))
-        before = start - 1
-        for _ in range(3):
-            before = np.where((before >= 0) & IS_CLOSING[codes[before]], before - 1, before)
-        last = np.where(before >= 0, codes[before], 0)
-        kind = np.where(IS_SENTENCE[last], SENTENCE, np.where(IS_CLAUSE[last], CLAUSE, WORD))
-        out[k] = np.where(lines > 1, PARAGRAPH, np.where(lines == 1, LINE, kind))
-        wide = np.flatnonzero(IS_WIDE[codes]) + 1
-        wide = wide[wide < n]
-        k = np.minimum(np.searchsorted(self.char, wide), len(self.char) - 1)
-        hit = self.char[k] == wide
-        out[k[hit]] = np.maximum(out[k[hit]], np.where(IS_SENTENCE[codes[wide[hit] - 1]], SENTENCE, CLAUSE))
+    def __init__(self, text: str, encoding: tiktoken.Encoding, token: np.ndarray, char: np.ndarray, strength: np.ndarray, starts: np.ndarray, begins: np.ndarray, base: int):
+        self.token, self.char, self.strength, self.size = token, char, strength, int(token[-1])
+        self._text, self._encoding = text, encoding
+        # Where words start in all texts of the batch, whether one does at each character of this text, and where that starts in the batch.
+        self._starts, self._begins, self._base = starts, begins, base
+
+    def count(self, a: int, b: int) -> int:
+        """Tokens of what lies between two places, as a text of its own."""
+        begins, text, char, token = self._begins, self._text, self.char, self.token
+        at, end = int(char[a]), int(char[b])
+        stop = end  # from here on the text must be encoded again: a word cut, or the white space at its end
+        if end > at and text[end - 1] in SPACES:
+            while stop > at and text[stop - 1] in SPACES:
+                stop -= 1
+        elif not begins[end]:
+            stop = int(self._starts[self._starts.searchsorted(end + self._base) - 1]) - self._base
+        if stop <= at:
+            return self._part(at, end)
+        first = 0
+        while not begins[at]:  # words from within a word on, until they fall in with those of the whole
+            after = _WORD.match(text, at).end()
+            if after > stop:
+                return self._part(int(char[a]), end)
+            first, at = first + self._part(at, after), after
+        n = first + int(token[char.searchsorted(stop)] - token[char.searchsorted(at) if first else a])
+        return n + self._part(stop, end) if stop < end else n
+
+    def _part(self, a: int, b: int) -> int:
+        part = self._text[a:b]
+        parts = _held_parts(self._encoding)
+        n = parts.get(part)
+        if n is None:
+            n = len(self._encoding.encode_ordinary(part))
+            if len(part) <= 40:
+                if len(parts) >= HELD_PARTS:
+                    parts.clear()
+                parts[part] = n
+        return n
+
+
+def _strengths(codes: np.ndarray, texts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Strength of each place ``at`` in code points of texts, one after the other, which start at ``texts``."""
+    n, codes = len(codes), np.minimum(codes, 0xFFFF)
+    out = np.zeros(len(at), dtype=np.int8)
+    opens = np.zeros(n + 1, dtype=bool)
+    opens[texts] = opens[n] = True
+    text_of = lambda k: np.searchsorted(texts, k, side="right") - 1
+    space = np.zeros(n + 2, dtype=bool)
+    space[1:-1] = IS_SPACE[codes]
+    start = np.flatnonzero(space[1:-1] & (~space[:-2] | opens[:-1]))
+    end = np.flatnonzero(space[1:-1] & (~space[2:] | opens[1:])) + 1
+    inner = ~opens[end]
+    start, end = start[inner], end[inner]
+    begin = texts[text_of(start)]
+    # The place of a gap is the last one in it, so that white space stays with what it follows.
+    k = np.searchsorted(at, end, side="right") - 1
+    held = (at[k] > begin) & (at[k] >= start)
+    start, end, k, begin = start[held], end[held], k[held], begin[held]
+    count = lambda c: (lambda where: np.searchsorted(where, end) - np.searchsorted(where, start))(np.flatnonzero(codes == c))
+    lines = np.where((feeds := count(10)) > 0, feeds, count(13))
+    before = start - 1
+    for _ in range(3):
+        before = np.where((before >= begin) & IS_CLOSING[codes[before]], before - 1, before)
+    last = np.where(before >= begin, codes[before], 0)
+    kind = np.where(IS_SENTENCE[last], SENTENCE, np.where(IS_CLAUSE[last], CLAUSE, WORD))
+    out[k] = np.where(lines > 1, PARAGRAPH, np.where(lines == 1, LINE, kind))
+    wide = np.flatnonzero(IS_WIDE[codes]) + 1
+    wide = wide[~opens[wide]]
+    k = np.minimum(np.searchsorted(at, wide), len(at) - 1)
+    hit = at[k] == wide
+    out[k[hit]] = np.maximum(out[k[hit]], np.where(IS_SENTENCE[codes[wide[hit] - 1]], SENTENCE, CLAUSE))
+    return out
+
+
+def places_of(texts: list[str], encoding: tiktoken.Encoding, least: int = 0) -> list[Places | None]:
+    """The places of texts, worked out for all of them together; None for those of ``least`` tokens or fewer."""
+    every = [encoding.encode_to_numpy(t, disallowed_special=()) for t in texts]
+    chosen = [i for i, tokens in enumerate(every) if len(tokens) > least]
+    out: list[Places | None] = [None] * len(texts)
+    if not chosen:
         return out
+    own, tokens = [texts[i] for i in chosen], [every[i] for i in chosen]
+    data = "".join(own).encode()
+    codes = np.frombuffer(data.decode().encode("utf-32-le"), dtype=np.uint32)
+    base = np.cumsum([0, *map(len, own)])
+    sizes = np.array(list(map(len, tokens)))
+    ends = np.cumsum(token_bytes(encoding)[np.concatenate(tokens)])
+    number = np.arange(len(ends)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+    if len(data) == len(codes):
+        char = ends
+    else:
+        first = (np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80  # first bytes of characters
+        whole = np.append(first, True)[ends]
+        char, number = np.concatenate([[0], np.cumsum(first)])[ends[whole]], number[whole]
+    # The start of each text is a place too.
+    ahead = np.searchsorted(char, base[:-1], side="right")
+    char, number = np.insert(char, ahead, base[:-1]), np.insert(number, ahead, 0)
+    cuts = np.append(ahead + np.arange(len(own)), len(char))
+    strength = _strengths(codes, base[:-1], char)
+    starts = word_starts(codes, base[:-1])
+    begins = np.zeros(len(codes) + 1, dtype=bool)
+    begins[starts] = begins[-1] = True
+    for i, text, a, b, low, high in zip(chosen, own, cuts[:-1].tolist(), cuts[1:].tolist(), base[:-1].tolist(), base[1:].tolist()):
+        out[i] = Places(text, encoding, number[a:b], char[a:b] - low, strength[a:b], starts, begins[low : high + 1], low)
+    return out
 
 
 def atoms(places: Places, room: int) -> list[int]:
@@ -174,17 +257,16 @@ def agglomerate(places: Places, bounds: list[int], limit: int, overlap: int) ->
     return [b for k, b in enumerate(bounds[:-1]) if not gone[k]] + [bounds[-1]]
 
 
-def _overlapped(text: str, encoding: tiktoken.Encoding, places: Places, a: int, overlap: int) -> int:
+def _overlapped(places: Places, a: int, overlap: int) -> int:
     """The place where the piece with core from ``a`` starts: the text between has ``overlap`` tokens as a text of its own, or as few more as can be."""
     if not a or not overlap:
         return a
-    char = places.char
-    shared = lambda k: len(encoding.encode_ordinary(text[char[k] : char[a]]))
     start = max(0, int(np.searchsorted(places.token, places.token[a] - overlap, side="right")) - 1)
-    while start and shared(start) < overlap:
+    n = places.count(start, a)
+    while start and n < overlap:
         start -= 1
-    n = shared(start)
-    while n > overlap and start + 1 < a and (less := shared(start + 1)) >= overlap:
+        n = places.count(start, a)
+    while n > overlap and start + 1 < a and (less := places.count(start + 1, a)) >= overlap:
         start, n = start + 1, less
     return start
 
@@ -193,16 +275,16 @@ def split(text: str, encoding: tiktoken.Encoding, limit: int, overlap: int, plac
     """(start, end, tokens, core) of each piece, in characters; ``core`` is where the text not seen before begins. None if the text fits."""
     if not 0 <= overlap < limit:
         raise ValueError(f"an overlap of {overlap} tokens in pieces of {limit}")
-    places = places or Places(text, encoding)
-    if places.size <= limit:
+    places = places or places_of([text], encoding, limit)[0]
+    if places is None or places.size <= limit:
         return []
     token, char = places.token, places.char
     bounds = agglomerate(places, atoms(places, limit - overlap), limit, overlap)
     waiting, out = [(a, b) for a, b in zip(bounds, bounds[1:])][::-1], []
     while waiting:
         a, b = waiting.pop()
-        start = _overlapped(text, encoding, places, a, overlap)
-        n = len(encoding.encode_ordinary(text[char[start] : char[b]]))
+        start = _overlapped(places, a, overlap)
+        n = places.count(start, b)
         if n > limit and b - a > 1:
             inner = places.strength[a + 1 : b]
             best = np.flatnonzero(inner == inner.max()) + a + 1
@@ -211,7 +293,9 @@ def split(text: str, encoding: tiktoken.Encoding, limit: int, overlap: int, plac
             continue
         while n > limit and start < a:  # one place only: less overlap
             start += 1
-            n = len(encoding.encode_ordinary(text[char[start] : char[b]]))
+            n = places.count(start, b)
+        if n > limit:
+            raise ValueError(f"{text[char[a] : char[b]]!r} has {n} tokens, more than the limit of {limit}")
         out.append((int(char[start]), int(char[b]), n, int(char[a])))
     return out
 
@@ -235,21 +319,21 @@ def pieces(documents: DataFrame, limits: DataFrame, folder: str | None = None) -
 
         least = min((p[2] for p in plan), default=0)
         for rows in batches:
-            for doc, value in zip(rows.column("doc_id").to_pylist(), rows.column("text")):
-                text = value.as_py()
-                if not text or len(text.encode()) <= least:  # a token has a byte at least
-                    continue
-                known: dict[str, Places] = {}
-                for limit_id, path, most, overlap in plan:
-                    encoding = tokenizer(path)
-                    if path not in known:
-                        known[path] = Places(text, encoding)
-                    for k, (a, b, n, core) in enumerate(split(text, encoding, most, overlap, known[path])):
-                        out.append((limit_id, doc, k, a, b, core, n, text[a:b]))
-                        held += b - a
-                    if held > 4_000_000 or len(out) > 20_000:
-                        yield batch()
-                        out, held = [], 0
+            # A token has a byte at least, so shorter texts are within every limit.
+            long = rows.filter(pc.fill_null(pc.greater(pc.binary_length(rows.column("text")), least), False))
+            for start, stop in stretches(long.column("text")):
+                docs, texts = (long.column(c).slice(start, stop - start).to_pylist() for c in ("doc_id", "text"))
+                known = {path: places_of(texts, tokenizer(path), min(p[2] for p in plan if p[1] == path)) for path in dict.fromkeys(p[1] for p in plan)}
+                for i, (doc, text) in enumerate(zip(docs, texts)):
+                    for limit_id, path, most, overlap in plan:
+                        if known[path][i] is None:
+                            continue
+                        for k, (a, b, n, core) in enumerate(split(text, tokenizer(path), most, overlap, known[path][i])):
+                            out.append((limit_id, doc, k, a, b, core, n, text[a:b]))
+                            held += b - a
+                        if held > 4_000_000 or len(out) > 20_000:
+                            yield batch()
+                            out, held = [], 0
         yield batch()
 
     return documents.select("doc_id", "text").mapInArrow(run, "limit_id string, doc_id long, piece_no int, start_char int, end_char int, core_char int, n_tokens int, text string")
