@@ -13,6 +13,7 @@ part invalid. Repeated files are parsed once each.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import io
 import json
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import stage
+
 MAX_BYTES = 64 * 1024 * 1024
 MAX_ENTRIES, MAX_RATIO = 2_000, 200
 #: Geometries in the order in which several of one placemark are put together.
@@ -203,7 +206,12 @@ def documents(content: bytes, max_bytes: int) -> Iterator[tuple[str, str | None,
 def read_kml(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Rows of all KML and KMZ files under ``path``, see ``SCHEMA``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.lower("path").rlike(r"\.(kml|kmz)$"))
-    rows = files.select("path", "length", F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
+    return parse_files(files, max_bytes)
+
+
+def parse_files(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The same of files (path, content binary) that are at hand."""
+    rows = files.select("path", F.when(F.length("content") <= max_bytes, F.col("content")).alias("content"))
 
     part = pa.struct([("part", pa.string()), ("kind", pa.string()), ("coordinates", pa.string()), ("valid", pa.bool_())])
     kinds = {"seq": pa.int32(), "visible": pa.bool_(), "attributes": pa.map_(pa.string(), pa.string()), "geometries": pa.list_(part)}
@@ -225,15 +233,74 @@ def read_kml(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> Data
 
 
 def resolve_styles(rows: DataFrame) -> DataFrame:
-    """Placemarks with the style they end at: own reference, through at most one map per step, cycles and missing ones told."""
-    styles = rows.filter("record = 'style' and name is not null").select("path", "document", F.concat(F.lit("#"), F.col("name")).alias("ref"), F.col("style_url").alias("next")).dropDuplicates(["path", "document", "ref"])
-    out = rows.filter("record = 'placemark'").select("path", "document", "seq", "name", F.col("style_url").alias("ref"))
-    out = out.withColumn("status", F.when(F.col("ref").isNull(), "none").when(~F.col("ref").startswith("#"), "external"))
-    for _ in range(3):
-        out = out.join(styles.withColumn("found", F.lit(True)), ["path", "document", "ref"], "left")
-        out = out.withColumn("status", F.coalesce("status", F.when(F.col("found").isNull(), "missing").when(F.col("next").isNull(), "resolved")))
-        out = out.withColumn("ref", F.when(F.col("status").isNull(), F.col("next")).otherwise(F.col("ref"))).drop("next", "found")
-    return out.withColumn("status", F.coalesce("status", F.lit("cycle")))
+    """Placemarks with the style they end at: own reference, through any number of maps, cycles (which keep it) and missing ones told.
+
+    References of each document double their reach a round, so a chain of n maps
+    takes log2(n) rounds; what hasn't ended when all maps of the largest
+    document are passed never ends.
+    """
+    key = ["path", "document"]
+    own = rows.filter("record = 'style' and name is not null").select(*key, F.concat(F.lit("#"), F.col("name")).alias("ref"), F.col("style_url").alias("next")).dropDuplicates([*key, "ref"])
+    held = own.select(*key, F.col("ref").alias("next"), F.lit(True).alias("known"))
+    # A style ends at itself; a map whose target isn't held ends there, as missing.
+    ahead = own.join(held, [*key, "next"], "left").select(*key, "ref", F.coalesce("next", "ref").alias("next"), F.when(F.col("next").isNull(), "resolved").when(F.col("known").isNull(), "missing").alias("status"))
+    ahead = stage(ahead)
+    most = ahead.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+    for _ in range(max(1, most).bit_length()):
+        onward = ahead.select(*key, F.col("ref").alias("next"), F.col("next").alias("far"), F.col("status").alias("far_status"))
+        ahead = stage(ahead.join(onward, [*key, "next"], "left").select(*key, "ref", F.when(F.col("status").isNull(), F.coalesce("far", "next")).otherwise(F.col("next")).alias("next"), F.coalesce("status", "far_status").alias("status")))
+    ends = ahead.select(*key, "ref", F.when(F.col("status").isNotNull(), F.col("next")).alias("end"), F.coalesce("status", F.lit("cycle")).alias("end_status"))
+    out = rows.filter("record = 'placemark'").select(*key, "seq", "name", F.col("style_url").alias("ref")).join(ends, [*key, "ref"], "left")
+    status = F.when(F.col("ref").isNull(), "none").when(~F.col("ref").startswith("#"), "external").otherwise(F.coalesce("end_status", F.lit("missing")))
+    return out.select(*key, "seq", "name", F.coalesce("end", "ref").alias("ref"), status.alias("status"))
+
+
+def valid_box(attributes: str = "attributes") -> Column:
+    """Whether an overlay's sides are numbers within the earth's bounds, north not below south; west may lie east of east (the date line)."""
+    side = lambda n: f"try_cast({attributes}['{n}'] as double)"
+    return F.expr(f"coalesce({side('north')} >= {side('south')} and {side('north')} <= 90 and {side('south')} >= -90 and {side('east')} between -180 and 180 and {side('west')} between -180 and 180, false)")
+
+
+def folder_categories(folders: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(id, category) of folders (id, words array<string>) by aliases (alias, category): the longest alias that is the folder's name or, from four letters on, a run of whole words in it; ``unmapped`` for none.
+
+    Runs of words meet aliases in an equi-join; the longest alias in words bounds
+    the runs. Aliases are token texts; of two categories for one alias the least counts.
+    """
+    known = aliases.filter("alias != ''").groupBy("alias").agg(F.min("category").alias("category"))
+    longest = known.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 0
+    runs = folders.selectExpr("id", "words", f"explode(flatten(transform(sequence(0, greatest(size(words) - 1, 0)), i -> transform(sequence(1, greatest(least({max(1, longest)}, size(words) - i), 1)), n -> array_join(slice(words, i + 1, n), ' '))))) as alias")
+    met = runs.join(known, "alias").where("length(alias) > 3 or alias = array_join(words, ' ')")
+    best = met.groupBy("id").agg(F.expr("min(struct(-length(alias) as l, alias, category)) as m"))
+    return folders.select("id").distinct().join(best, "id", "left").selectExpr("id", "coalesce(m.category, 'unmapped') as category")
+
+
+def resources(files: DataFrame, wanted: str = "wanted", max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, name, size, sha256, issue): the resource that each archive (path, content, wanted) is asked for, by its path inside; letter case and ``./`` don't matter."""
+    rows = files.select("path", "content", F.col(wanted).alias("wanted"))
+
+    def one(content: bytes, name: str) -> tuple[str | None, int | None, str | None, str | None]:
+        if not name or not safe_entry(name):
+            return None, None, None, "unsafe_resource_path"
+        try:
+            archive = zipfile.ZipFile(io.BytesIO(content or b""))
+        except zipfile.BadZipFile:
+            return None, None, None, "invalid_archive"
+        plain = lambda n: n.replace("\\", "/").removeprefix("./").lower()
+        found = next((i for i in archive.infolist() if not i.is_dir() and plain(i.filename) == plain(name)), None)
+        if found is None:
+            return None, None, None, "resource_missing"
+        if found.flag_bits & 1 or found.file_size > max_bytes or found.file_size > MAX_RATIO * max(1, found.compress_size):
+            return found.filename, found.file_size, None, "resource_too_large"
+        return found.filename, found.file_size, hashlib.sha256(archive.read(found)).hexdigest(), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [one(c, w) for c, w in zip(batch.column("content").to_pylist(), batch.column("wanted").to_pylist())]
+            columns = [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), *columns], ["path", "name", "size", "sha256", "issue"])
+
+    return rows.mapInArrow(run, "path string, name string, size long, sha256 string, issue string")
 
 
 def coverage(rows: DataFrame) -> DataFrame:
@@ -269,4 +336,5 @@ def write_kml(placemarks: DataFrame, path: str) -> None:
             yield pd.DataFrame({"value": frame["xml"]})
         yield pd.DataFrame({"value": ["</Document></kml>"]})
 
-    placemarks.select("xml").mapInPandas(framed, "value string").write.mode("overwrite").option("fileExtension", "kml").text(path)
+    raw = {"extension": "kml", "quote": "\0", "sep": "\x01", "escapeQuotes": "false", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}  # lines as they are; only this writer lets files be named
+    placemarks.select("xml").mapInPandas(framed, "value string").write.mode("overwrite").options(**raw).csv(path)
