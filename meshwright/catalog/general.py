@@ -11,6 +11,7 @@ from ..functions import geo
 from ..functions.ids import id_or_empty, norm_id, trimmed
 from ..operators import copies, hierarchy, orphans, snapshots, spatial
 from ..plans.records import first_deliveries, month_of
+from ..plans.staging import stage
 from .tables import read
 
 
@@ -289,7 +290,7 @@ NEAR_METRES = 3.0
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    blocks = spatial.build_blocks(_points(spark, d))
+    blocks = spatial.build_blocks(stage(_points(spark, d)))  # the bounds of ranges are sampled from it, so texts are parsed once
     near = spatial.near_pairs(blocks, NEAR_METRES).withColumn("kind", F.lit("near"))
     within = spatial.containing(blocks, _regions(spark, d)).withColumn("kind", F.lit("inside"))
     return near.unionByName(within).select("kind", F.col("first_id").alias("first_geometry_id"), F.col("second_id").alias("second_geometry_id"))
