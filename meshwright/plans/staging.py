@@ -33,10 +33,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder; what is written there is deleted when the driver's JVM ends."""
-    path = f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}")
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.deleteOnExit(place)
+    return system.makeQualified(place).toString()  # with its scheme, so that all readers mean the same file system
 
 
 def stage(df: DataFrame) -> DataFrame:
