@@ -22,7 +22,7 @@ from ..functions import geo
 
 _DEGREE = math.pi * geo.EARTH_RADIUS / 180
 #: Longest piece, in cells, into which a segment is cut before cells are listed.
-PIECE_CELLS = 2
+PIECE_CELLS = 4
 
 
 def _row(lat: str, cell: float) -> str:
@@ -119,9 +119,9 @@ def line_ends(lines: DataFrame) -> DataFrame:
     return lines.filter(F.size("line") >= 2).select("scope", "line_id", F.inline(ends))
 
 
-def _in_cells(segs: DataFrame, cell: float, reach: float) -> DataFrame:
+def _in_cells(segs: DataFrame, cell: float, reach: float, piece: int = PIECE_CELLS) -> DataFrame:
     """Segments in pieces of a few cells, each in all cells within reach, so long ones don't fill their whole box."""
-    cut = segs.selectExpr("*", f"cast(greatest(ceil(greatest(abs(by - ay), abs(bx - ax)) * {_DEGREE / (PIECE_CELLS * cell)!r}D), 1) as int) as _n").selectExpr("*", "explode(sequence(0, _n - 1)) as _k")
+    cut = segs.selectExpr("*", f"cast(greatest(ceil(greatest(abs(by - ay), abs(bx - ax)) * {_DEGREE / (piece * cell)!r}D), 1) as int) as _n").selectExpr("*", "explode(sequence(0, _n - 1)) as _k")
     at = lambda a, b, k: f"{a} + ({b} - {a}) * (({k}) / _n)"
     ends = {"x0": at("ax", "bx", "_k"), "x1": at("ax", "bx", "_k + 1"), "y0": at("ay", "by", "_k"), "y1": at("ay", "by", "_k + 1")}
     cut = cut.selectExpr("*", *[f"{v} as _{k}" for k, v in ends.items()]).drop("_n", "_k")
@@ -139,7 +139,7 @@ def points_on_lines(points: DataFrame, lines: DataFrame, radius: float, cell: fl
     cell = cell or max(4 * radius, 5.0)
     lines = lines.selectExpr("coalesce(scope, '') as scope", "line_id", "line")
     place = in_cell(points.selectExpr("coalesce(scope, '') as scope", "point_id", "lon", "lat"), cell)
-    met = _in_cells(_segments(lines), cell, radius).join(place, ["scope", "_row", "_col"])
+    met = _in_cells(_segments(lines), cell, radius, 2).join(place, ["scope", "_row", "_col"])
     east = lambda x: f"radians(({x} - ax) - 360D * round(({x} - ax) / 360D)) * {geo.EARTH_RADIUS}D * cos(radians(lat))"
     north = lambda y: f"radians({y} - ay) * {geo.EARTH_RADIUS}D"
     met = met.selectExpr("scope", "line_id", "point_id", "seg", f"{east('lon')} as px", f"{north('lat')} as py", f"{east('bx')} as qx", f"{north('by')} as qy")
