@@ -38,7 +38,7 @@ def store_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def version_store(spark: SparkSession, d: str) -> DataFrame:
-    """A table partitioned by version: the first store's edges written, the versions of the second replaced, read back."""
+    """A table of versions: the first store's edges written, the versions of the second replaced, read back."""
     path = shared_path(spark, "versions")
     for store in ("postgres", "json"):
         stores.replace_versions(_side(spark, d, store).where("dv != ''"), path, "dv")

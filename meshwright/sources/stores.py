@@ -8,13 +8,32 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import stage
+
+#: The column that names the folder of a version, and how many folders a table of versions has.
+FOLDER, FOLDERS = "version_folder", 64
 #: Attribute names that a log must not hold.
 SECRET = r"(?i)(password|secret|token|authorization|cookie|api_?key)"
 
 
 def replace_versions(rows: DataFrame, path: str, by: str = "dataset_version_id") -> None:
-    """Replace just the versions that ``rows`` holds, in a table partitioned by version."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    """Replace just the versions that ``rows`` holds, in a table that keeps its versions in folders by hash.
+
+    A version lies in one folder whole, so files are as many as folders (more for
+    large ones), however many versions there are and however ``rows`` is spread.
+    Folders of the versions replaced are written anew, with the other versions in them.
+    """
+    spark = rows.sparkSession
+    rows = stage(rows.withColumn(FOLDER, F.expr(f"pmod(hash(`{by}`), {FOLDERS})")))
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    at = [f"{path.rstrip('/')}/{FOLDER}={r[0]}" for r in rows.select(FOLDER).distinct().collect()]
+    held = [f for f in at if system.exists(spark._jvm.org.apache.hadoop.fs.Path(f))]
+    if held:
+        old = spark.read.option("basePath", path).option("mergeSchema", "true").parquet(*held)
+        given = rows.select(F.col(by).alias("_given")).distinct()
+        rows = rows.unionByName(old.join(given, F.col(by).eqNullSafe(F.col("_given")), "left_anti"), allowMissingColumns=True)
+    rows.hint("rebalance", FOLDER).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(FOLDER).parquet(path)
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:

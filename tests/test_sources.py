@@ -55,6 +55,18 @@ def test_write_kml_reads_back(spark, tmp_path):
     assert {r["name"]: r["geometries"][0]["coordinates"] for r in back} == {"a & b": "[1.5,2.25]", "line": "[[1.0,2.0],[3.0,4.0]]"}
 
 
+def test_many_versions_lie_in_few_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(0, 1200, 1, 4).selectExpr("nullif(concat('v', id % 300), 'v7') as dv", "id")
+    stores.replace_versions(rows.where("id < 0"), path, "dv")
+    stores.replace_versions(rows, path, "dv")
+    stores.replace_versions(rows.where("dv is null or dv = 'v8'").selectExpr("dv", "-id as id", "'new' as more").where("id > -900"), path, "dv")
+    found = sorted((r["dv"] or "", r["id"], r["more"]) for r in spark.read.option("mergeSchema", "true").parquet(path).collect())
+    kept = [(f"v{i % 300}", i, None) for i in range(1200) if i % 300 not in (7, 8)]
+    assert found == sorted(kept + [(v, -i, "new") for v, k in (("", 7), ("v8", 8)) for i in range(k, 900, 300)])
+    assert len(list((tmp_path / "t").rglob("*.parquet"))) <= stores.FOLDERS
+
+
 def test_stores(spark, tmp_path):
     rows = spark.createDataFrame([("v1", "a", 1), ("v2", "b", 2)], "dataset_version_id string, id string, n int")
     stores.replace_versions(rows, str(tmp_path / "t"))
