@@ -26,6 +26,19 @@ def test_styles_through_any_number_of_maps(spark, length):
     assert found[("two", "n")] == ("#s0", "missing")
 
 
+def test_styles_are_resolved_without_joins(spark):
+    texts = "path string, document string, record string, seq int, name string, style_url string"
+    doc = lambda p, d, to: [(p, d, "placemark", 1, "x", "#m"), (p, d, "style", 0, "m", to), (p, d, "style", 0, "s", None), (p, d, "style", 0, "loop", "#loop"), (p, d, "style", 0, "in", "#loop"), (p, d, "placemark", 2, "y", "#in")]
+    rows = doc("p", "a", "#s") + doc("p", "b", "#gone") + doc(None, "a", "#s") + [("p", "a", "style", 0, "m", "#z"), ("p", "a", "style", 0, None, None)]
+    df = kml.resolve_styles(spark.createDataFrame(rows, texts).repartition(5))
+    found = {(r["path"], r["document"], r["name"]): (r["ref"], r["status"]) for r in df.collect()}
+    assert found == {
+        ("p", "a", "x"): ("#s", "resolved"), ("p", "b", "x"): ("#gone", "missing"), (None, "a", "x"): ("#m", "missing"),
+        ("p", "a", "y"): ("#in", "cycle"), ("p", "b", "y"): ("#in", "cycle"), (None, "a", "y"): ("#in", "missing"),
+    }
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_folders_by_the_longest_alias(spark):
     aliases = spark.createDataFrame([("cctv", "camera"), ("cctv cable", "cable"), ("fo", "fiber"), ("", "none"), ("pole", "b"), ("pole", "a")], "alias string, category string")
     names = {"1": "north cctv cable", "2": "fo", "3": "fo north", "4": "the pole", "5": "flagpole", "6": ""}
