@@ -58,17 +58,21 @@ _NODE = ["target_id", "site_id", "network_family", "node_domain", "t", "is_pole"
 
 
 def relation_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Proposals of all generators, decided, and the ends without one."""
+    """Proposals of all generators, decided, and the ends without one.
+
+    Each distance join is staged before all are united: as one plan, the driver
+    would plan and compile them together, again after each of their stages.
+    """
     nodes, paths = _parts(spark, d)
     ends = stage(g.line_ends(paths.select("scope", "line_id", "line")).join(paths.select("scope", "line_id", *_PATH), ["scope", "line_id"]).selectExpr("scope", "concat_ws(':', 'endpoint', line_id, role) as left_id", "lon", "lat", *_PATH))
     devices = nodes.selectExpr("scope", "geometry_id as right_id", "lon", "lat", *_NODE)
     fit = f"{k.fit('regexp_like')} as fit"
-    near = g.near_points(ends, devices, maps.SEARCH_METRES).selectExpr("scope", "'cable_termination' as candidate_type", "left_id as endpoint_id", "target_id", "distance", fit, "'end' as role").where("fit > 0")
-    met = g.points_on_lines(nodes.where("is_inline").selectExpr("scope", "geometry_id as point_id", "lon", "lat"), paths.select("scope", "line_id", "line"), maps.INLINE_METRES).where(f"to_start > {maps.INLINE_MARGIN} and to_end > {maps.INLINE_MARGIN}")
+    near = stage(g.near_points(ends, devices, maps.SEARCH_METRES).selectExpr("scope", "'cable_termination' as candidate_type", "left_id as endpoint_id", "target_id", "distance", fit, "'end' as role").where("fit > 0"))
+    met = stage(g.points_on_lines(nodes.where("is_inline").selectExpr("scope", "geometry_id as point_id", "lon", "lat"), paths.select("scope", "line_id", "line"), maps.INLINE_METRES).where(f"to_start > {maps.INLINE_MARGIN} and to_end > {maps.INLINE_MARGIN}").select("scope", "line_id", "point_id", "distance"))
     inline = met.join(paths.select("scope", "line_id", *_PATH), ["scope", "line_id"]).join(nodes.selectExpr("scope", "geometry_id as point_id", *_NODE), ["scope", "point_id"])
     inline = inline.selectExpr("scope", "'inline_device' as candidate_type", "concat_ws(':', 'endpoint', line_id, 'inline') as endpoint_id", "target_id", "distance", fit, "'inline' as role").where("fit > 0")
     mounted = g.near_points(nodes.where("not is_pole").selectExpr("scope", "geometry_id as left_id", "lon", "lat"), nodes.where("is_pole").selectExpr("scope", "geometry_id as right_id", "lon", "lat", "target_id"), maps.POLE_METRES)
-    mounted = mounted.selectExpr("scope", "'mounting' as candidate_type", "concat('mount:', left_id) as endpoint_id", "target_id", "distance", "1.0D as fit", "'end' as role")
+    mounted = stage(mounted.selectExpr("scope", "'mounting' as candidate_type", "concat('mount:', left_id) as endpoint_id", "target_id", "distance", "1.0D as fit", "'end' as role"))
     stated = _explicit(spark, d).where("target_site = site_id and target_id <> asset_id").selectExpr("dv as scope", "'explicit_metadata' as candidate_type", "concat_ws(':', 'explicit', relation_type, asset_id) as endpoint_id", "target_id", "cast(null as double) as distance", "1.0D as fit", "'end' as role")
     proposals = stage(r.union([near, inline, mounted, stated]))
     found = r.decided(r.scored(proposals)).unionByName(r.unresolved(ends.selectExpr("scope", "left_id as endpoint_id"), proposals))

@@ -3,7 +3,9 @@ import zipfile
 
 import pytest
 
+from meshwright.catalog import relations as generated
 from meshwright.operators import devices, relations
+from meshwright.plans.staging import stage
 from meshwright.sources import kml
 
 
@@ -39,6 +41,15 @@ def test_styles_are_resolved_without_joins(spark):
     assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_generators_are_staged_before_they_are_united(spark, monkeypatch):
+    joins = []
+    monkeypatch.setattr(generated, "stage", lambda df: (joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")), stage(df))[1])
+    found = generated.relation_candidates(spark, "/root/testdata/sf0.001")
+    assert {r[0] for r in found.select("candidate_type").distinct().collect()} >= {"cable_termination", "unresolved_termination"}
+    assert max(joins) <= 4
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 4
+
+
 def test_folders_by_the_longest_alias(spark):
     aliases = spark.createDataFrame([("cctv", "camera"), ("cctv cable", "cable"), ("fo", "fiber"), ("", "none"), ("pole", "b"), ("pole", "a")], "alias string, category string")
     names = {"1": "north cctv cable", "2": "fo", "3": "fo north", "4": "the pole", "5": "flagpole", "6": ""}
