@@ -9,7 +9,7 @@ from ..functions import score, text
 from ..operators import devices as k
 from ..operators import gridjoin as g
 from ..operators import relations as r
-from ..plans.staging import stage
+from ..plans.staging import stage, unbroadcast
 from . import maps, views
 from .views import sql_with
 
@@ -36,7 +36,7 @@ def _explicit(spark: SparkSession, d: str) -> DataFrame:
     own = views.assets(spark, d, "dv", "asset_id", "parent_id", "upstream_id", "site_id").where("asset_id != ''")
     stated = own.selectExpr("dv", "asset_id", "site_id", "inline(array(named_struct('relation_type', 'parent', 'direction', 'target_to_source', 'target_id', parent_id), named_struct('relation_type', 'upstream', 'direction', 'source_to_target', 'target_id', upstream_id)))").where("target_id is not null")
     ends = own.groupBy("dv", F.col("asset_id").alias("target_id")).agg(F.min("site_id").alias("target_site"))
-    return stated.join(ends, ["dv", "target_id"], "left")
+    return stated.join(unbroadcast(ends), ["dv", "target_id"], "left")
 
 
 def explicit_references(spark: SparkSession, d: str) -> DataFrame:
@@ -47,9 +47,11 @@ def explicit_references(spark: SparkSession, d: str) -> DataFrame:
 
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and paths with what compatibility reads, staged."""
-    nodes = _worded(views.devices(spark, d)).selectExpr("dv as scope", "geometry_id", "asset_id as target_id", "lon", "lat", "site_id", "network_family", "t", f"{k.domain('network_family', 't', 'regexp_like')} as node_domain", *_kinds())
-    own = _worded(views.assets(spark, d, "dv", "feature_id", "asset_id", "asset_type", "category", "network_family", "site_id", "source_name", "object_role").where("object_role = 'cable_path'"))
-    paths = views.of_features(views.lines(spark, d), own.selectExpr("dv", "feature_id", "site_id as path_site", "network_family as path_family", f"{k.domain('network_family', 't', 'regexp_like')} as path_domain"))
+    own = views.assets(spark, d, "dv", "feature_id", "asset_id", "asset_type", "category", "network_family", "site_id", "source_name", "object_role").drop("object_id", "received_at")
+    sited = views.of_features(views.points(spark, d), unbroadcast(own.where("object_role = 'device_node'")))
+    nodes = _worded(sited).selectExpr("dv as scope", "geometry_id", "asset_id as target_id", "lon", "lat", "site_id", "network_family", "t", f"{k.domain('network_family', 't', 'regexp_like')} as node_domain", *_kinds())
+    named = _worded(own.where("object_role = 'cable_path'"))
+    paths = views.of_features(views.lines(spark, d), unbroadcast(named.selectExpr("dv", "feature_id", "site_id as path_site", "network_family as path_family", f"{k.domain('network_family', 't', 'regexp_like')} as path_domain")))
     return stage(nodes), stage(paths.selectExpr("dv as scope", "geometry_id as line_id", "line", "path_site", "path_family", "path_domain"))
 
 
@@ -62,8 +64,9 @@ def relation_candidates(spark: SparkSession, d: str) -> DataFrame:
 
     Each distance join is staged before all are united: as one plan, the driver
     would plan and compile them together, again after each of their stages.
+    No join broadcasts, as every table here grows with the input.
     """
-    nodes, paths = _parts(spark, d)
+    nodes, paths = map(unbroadcast, _parts(spark, d))
     ends = stage(g.line_ends(paths.select("scope", "line_id", "line")).join(paths.select("scope", "line_id", *_PATH), ["scope", "line_id"]).selectExpr("scope", "concat_ws(':', 'endpoint', line_id, role) as left_id", "lon", "lat", *_PATH))
     devices = nodes.selectExpr("scope", "geometry_id as right_id", "lon", "lat", *_NODE)
     fit = f"{k.fit('regexp_like')} as fit"
@@ -75,7 +78,7 @@ def relation_candidates(spark: SparkSession, d: str) -> DataFrame:
     mounted = stage(mounted.selectExpr("scope", "'mounting' as candidate_type", "concat('mount:', left_id) as endpoint_id", "target_id", "distance", "1.0D as fit", "'end' as role"))
     stated = _explicit(spark, d).where("target_site = site_id and target_id <> asset_id").selectExpr("dv as scope", "'explicit_metadata' as candidate_type", "concat_ws(':', 'explicit', relation_type, asset_id) as endpoint_id", "target_id", "cast(null as double) as distance", "1.0D as fit", "'end' as role")
     proposals = stage(r.union([near, inline, mounted, stated]))
-    found = r.decided(r.scored(proposals)).unionByName(r.unresolved(ends.selectExpr("scope", "left_id as endpoint_id"), proposals))
+    found = r.decided(r.scored(proposals)).unionByName(r.unresolved(ends.selectExpr("scope", "left_id as endpoint_id"), unbroadcast(proposals)))
     return found.selectExpr("scope as dv", "candidate_type", "endpoint_id", "target_id", "round(distance, 5) as distance", "fit", "round(score, 5) as score", "place", "outcome")
 
 

@@ -51,6 +51,15 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unbroadcast(df: DataFrame) -> DataFrame:
+    """``df`` as a side of the next join, which then sorts and merges whatever the sizes seem to be.
+
+    Sizes are those of compressed files, of which rows in memory are many
+    times; a side that seems small would be built in the driver's memory.
+    """
+    return df.hint("merge")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

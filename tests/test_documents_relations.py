@@ -50,6 +50,15 @@ def test_generators_are_staged_before_they_are_united(spark, monkeypatch):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 4
 
 
+def test_candidates_are_joined_without_broadcasts(spark, monkeypatch):
+    plans = []
+    planned = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(generated, "stage", lambda df: stage(planned(df)))
+    planned(generated.relation_candidates(spark, "/root/testdata/sf0.001"))
+    assert sum(p.count("SortMergeJoin") for p in plans) == 11
+    assert not [p for p in plans if "Broadcast" in p or "ShuffledHashJoin" in p]
+
+
 def test_folders_by_the_longest_alias(spark):
     aliases = spark.createDataFrame([("cctv", "camera"), ("cctv cable", "cable"), ("fo", "fiber"), ("", "none"), ("pole", "b"), ("pole", "a")], "alias string, category string")
     names = {"1": "north cctv cable", "2": "fo", "3": "fo north", "4": "the pole", "5": "flagpole", "6": ""}
