@@ -31,9 +31,9 @@ def device_classes(spark: SparkSession, d: str) -> DataFrame:
     return rows.selectExpr("object_id", *_kinds(), f"{k.profile('regexp_like')} as profile", f"{k.family('network_family')} as family")
 
 
-def _explicit(spark: SparkSession, d: str) -> DataFrame:
+def _explicit(assets: DataFrame) -> DataFrame:
     """Stated references of assets: parent and upstream, one row each; held: whether the version has the target."""
-    own = views.assets(spark, d, "dv", "asset_id", "parent_id", "upstream_id", "site_id").where("asset_id != ''")
+    own = assets.where("asset_id != ''")
     stated = own.selectExpr("dv", "asset_id", "site_id", "inline(array(named_struct('relation_type', 'parent', 'direction', 'target_to_source', 'target_id', parent_id), named_struct('relation_type', 'upstream', 'direction', 'source_to_target', 'target_id', upstream_id)))").where("target_id is not null")
     ends = own.groupBy("dv", F.col("asset_id").alias("target_id")).agg(F.min("site_id").alias("target_site"))
     return stated.join(unbroadcast(ends), ["dv", "target_id"], "left")
@@ -42,12 +42,13 @@ def _explicit(spark: SparkSession, d: str) -> DataFrame:
 def explicit_references(spark: SparkSession, d: str) -> DataFrame:
     """Stated references by what becomes of them: usable, to itself, dangling, across sites."""
     verdict = "case when target_site is null then 'dangling' when target_id = asset_id then 'self' when target_site <> site_id then 'cross_site' else 'usable' end"
-    return _explicit(spark, d).groupBy("dv", "relation_type", F.expr(verdict).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    own = views.assets(spark, d, "dv", "asset_id", "parent_id", "upstream_id", "site_id")
+    return _explicit(own).groupBy("dv", "relation_type", F.expr(verdict).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and paths with what compatibility reads, staged."""
-    own = views.assets(spark, d, "dv", "feature_id", "asset_id", "asset_type", "category", "network_family", "site_id", "source_name", "object_role").drop("object_id", "received_at")
+def _parts(spark: SparkSession, d: str, own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and paths of assets with what compatibility reads, staged."""
+    own = own.drop("parent_id", "upstream_id")
     sited = views.of_features(views.points(spark, d), unbroadcast(own.where("object_role = 'device_node'")))
     nodes = _worded(sited).selectExpr("dv as scope", "geometry_id", "asset_id as target_id", "lon", "lat", "site_id", "network_family", "t", f"{k.domain('network_family', 't', 'regexp_like')} as node_domain", *_kinds())
     named = _worded(own.where("object_role = 'cable_path'"))
@@ -55,6 +56,8 @@ def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return stage(nodes), stage(paths.selectExpr("dv as scope", "geometry_id as line_id", "line", "path_site", "path_family", "path_domain"))
 
 
+#: Metres of a cell in which ends, devices, lines and poles meet: most are then put into few cells, and few more pairs meet.
+_CELL = 4 * maps.SEARCH_METRES
 _PATH = ["path_site", "path_family", "path_domain"]
 _NODE = ["target_id", "site_id", "network_family", "node_domain", "t", "is_pole", "is_junction", "is_rack", "is_inline"]
 
@@ -66,17 +69,18 @@ def relation_candidates(spark: SparkSession, d: str) -> DataFrame:
     would plan and compile them together, again after each of their stages.
     No join broadcasts, as every table here grows with the input.
     """
-    nodes, paths = map(unbroadcast, _parts(spark, d))
+    own = stage(views.assets(spark, d, "dv", "feature_id", "asset_id", "asset_type", "category", "network_family", "site_id", "source_name", "object_role", "parent_id", "upstream_id").drop("object_id", "received_at"))
+    nodes, paths = map(unbroadcast, _parts(spark, d, own))
     ends = stage(g.line_ends(paths.select("scope", "line_id", "line")).join(paths.select("scope", "line_id", *_PATH), ["scope", "line_id"]).selectExpr("scope", "concat_ws(':', 'endpoint', line_id, role) as left_id", "lon", "lat", *_PATH))
     devices = nodes.selectExpr("scope", "geometry_id as right_id", "lon", "lat", *_NODE)
     fit = f"{k.fit('regexp_like')} as fit"
-    near = stage(g.near_points(ends, devices, maps.SEARCH_METRES).selectExpr("scope", "'cable_termination' as candidate_type", "left_id as endpoint_id", "target_id", "distance", fit, "'end' as role").where("fit > 0"))
-    met = stage(g.points_on_lines(nodes.where("is_inline").selectExpr("scope", "geometry_id as point_id", "lon", "lat"), paths.select("scope", "line_id", "line"), maps.INLINE_METRES).where(f"to_start > {maps.INLINE_MARGIN} and to_end > {maps.INLINE_MARGIN}").select("scope", "line_id", "point_id", "distance"))
+    near = stage(g.near_points(ends, devices, maps.SEARCH_METRES, _CELL).selectExpr("scope", "'cable_termination' as candidate_type", "left_id as endpoint_id", "target_id", "distance", fit, "'end' as role").where("fit > 0"))
+    met = stage(g.points_on_lines(nodes.where("is_inline").selectExpr("scope", "geometry_id as point_id", "lon", "lat"), paths.select("scope", "line_id", "line"), maps.INLINE_METRES, _CELL).where(f"to_start > {maps.INLINE_MARGIN} and to_end > {maps.INLINE_MARGIN}").select("scope", "line_id", "point_id", "distance"))
     inline = met.join(paths.select("scope", "line_id", *_PATH), ["scope", "line_id"]).join(nodes.selectExpr("scope", "geometry_id as point_id", *_NODE), ["scope", "point_id"])
     inline = inline.selectExpr("scope", "'inline_device' as candidate_type", "concat_ws(':', 'endpoint', line_id, 'inline') as endpoint_id", "target_id", "distance", fit, "'inline' as role").where("fit > 0")
-    mounted = g.near_points(nodes.where("not is_pole").selectExpr("scope", "geometry_id as left_id", "lon", "lat"), nodes.where("is_pole").selectExpr("scope", "geometry_id as right_id", "lon", "lat", "target_id"), maps.POLE_METRES)
+    mounted = g.near_points(nodes.where("not is_pole").selectExpr("scope", "geometry_id as left_id", "lon", "lat"), nodes.where("is_pole").selectExpr("scope", "geometry_id as right_id", "lon", "lat", "target_id"), maps.POLE_METRES, _CELL)
     mounted = stage(mounted.selectExpr("scope", "'mounting' as candidate_type", "concat('mount:', left_id) as endpoint_id", "target_id", "distance", "1.0D as fit", "'end' as role"))
-    stated = _explicit(spark, d).where("target_site = site_id and target_id <> asset_id").selectExpr("dv as scope", "'explicit_metadata' as candidate_type", "concat_ws(':', 'explicit', relation_type, asset_id) as endpoint_id", "target_id", "cast(null as double) as distance", "1.0D as fit", "'end' as role")
+    stated = _explicit(own).where("target_site = site_id and target_id <> asset_id").selectExpr("dv as scope", "'explicit_metadata' as candidate_type", "concat_ws(':', 'explicit', relation_type, asset_id) as endpoint_id", "target_id", "cast(null as double) as distance", "1.0D as fit", "'end' as role")
     proposals = stage(r.union([near, inline, mounted, stated]))
     found = r.decided(r.scored(proposals)).unionByName(r.unresolved(ends.selectExpr("scope", "left_id as endpoint_id"), unbroadcast(proposals)))
     return found.selectExpr("scope as dv", "candidate_type", "endpoint_id", "target_id", "round(distance, 5) as distance", "fit", "round(score, 5) as score", "place", "outcome")

@@ -35,8 +35,8 @@ def _cells_in_row(row: str, cell: float) -> str:
     return f"cast(greatest(floor({360 * _DEGREE / cell!r}D * greatest(cos(radians({parallel})), 0D)), 1) as bigint)"
 
 
-def _column_at(lon: str, count: str) -> str:
-    return f"cast(floor(({lon} + 180D) / 360D * {count}) as bigint)"
+def _column_at(lon: str, count: str, aside: str = "") -> str:
+    return f"cast(floor(({lon} + 180D) / 360D * {count} {aside}) as bigint)"
 
 
 def in_cell(df: DataFrame, cell: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -52,18 +52,22 @@ def covered_cells(df: DataFrame, cell: float, west: str, south: str, east: str,
     rows = df.selectExpr("*", f"explode(sequence({_row(f'greatest({south} - {up}D, -90D)', cell)}, {_row(f'least({north} + {up}D, 90D)', cell)})) as _row")
     rows = rows.selectExpr("*", f"{_cells_in_row('_row', cell)} as _count")
     # Within a row, cells are never narrower than ``cell`` metres except where one cell is the whole row.
+    # Parallels shrink by less than 1 % within reach of a row of 1,000 cells or more; nearer to a pole whole cells are added.
     aside = math.ceil(reach / cell)
-    rows = rows.selectExpr("*", f"{_column_at(west, '_count')} - {aside}L as _low", f"{_column_at(east, '_count')} + {aside}L as _high")
+    part = f"case when _count < 1000 then {float(aside)!r}D else {min(aside, 1.01 * reach / cell)!r}D end"
+    rows = rows.selectExpr("*", f"{_column_at(west, '_count', f'- {part}')} as _low", f"{_column_at(east, '_count', f'+ {part}')} as _high")
     listed = rows.selectExpr("*", "explode(case when _high - _low + 1 >= _count then sequence(0L, _count - 1) else sequence(_low, _high) end) as _at")
     return listed.selectExpr("*", "pmod(_at, _count) as _col").drop("_count", "_low", "_high", "_at")
 
 
-def near_points(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
+def near_points(left: DataFrame, right: DataFrame, radius: float, cell: float | None = None) -> DataFrame:
     """Pairs of ``left`` (scope, left_id, lon, lat, any others) and ``right`` (scope, right_id, lon, lat, any others) within ``radius`` metres, with ``distance``.
 
     Other columns are carried along; their names must differ between the sides.
+    In a ``cell`` wider than the radius more pairs meet, but a left row is put
+    into fewer cells: 9 at the radius, 2 or 3 at four times that.
     """
-    cell = max(radius, 1.0)
+    cell = max(cell or radius, 1.0)
     own = lambda df, named: [c for c in df.columns if c not in ("scope", named, "lon", "lat")]
     others = [*own(left, "left_id"), *own(right, "right_id")]
     a = left.selectExpr("coalesce(scope, '') as scope", "left_id", "lon as lon1", "lat as lat1", *own(left, "left_id")).where(geo.valid_sql("lon1", "lat1"))

@@ -4,7 +4,8 @@ import zipfile
 import pytest
 
 from meshwright.catalog import relations as generated
-from meshwright.operators import devices, relations
+from meshwright.functions import geo
+from meshwright.operators import devices, gridjoin, relations
 from meshwright.plans.staging import stage
 from meshwright.sources import kml
 
@@ -59,6 +60,22 @@ def test_candidates_are_joined_without_broadcasts(spark, monkeypatch):
     assert not [p for p in plans if "Broadcast" in p or "ShuffledHashJoin" in p]
 
 
+@pytest.mark.parametrize("cell", [None, 12.0, 24.0])
+def test_wider_cells_find_the_same_pairs(spark, cell):
+    lat, lon = "element_at(array(0D, 51.3D, -78.2D, 89.99D, 89.9995D, 89.99999D), cast(id % 6 + 1 as int))", "element_at(array(0D, 180D, -179.99999D, 130.7D), cast(id div 6 % 4 + 1 as int))"
+    spread = lambda n, seed: spark.range(n).selectExpr("'s' as scope", f"cast(id as string) as {'left' if seed == 1 else 'right'}_id", f"least({lat} + (rand({seed}) - 0.5) * 6e-4, 90D) as lat", f"{lon} as x", f"rand({seed + 7}) as u").selectExpr("*", "(x + (u - 0.5) * 6e-4 / greatest(cos(radians(lat)), 1e-6) + 540D) % 360D - 180D as lon").drop("x", "u")
+    left, right = (stage(spread(3000, i)) for i in (1, 2))
+    found = {(r.left_id, r.right_id) for r in gridjoin.near_points(left, right, 6.0, cell).collect()}
+    near = left.withColumnsRenamed({"lon": "lon1", "lat": "lat1"}).crossJoin(right.drop("scope")).where(f"{geo.haversine_sql('lon1', 'lat1', 'lon', 'lat')} <= 6")
+    assert len(found) > 1000 and found == {(r.left_id, r.right_id) for r in near.collect()}
+
+
+def test_wider_cells_are_fewer(spark):
+    places = spark.range(4000).selectExpr("id", "(rand(1) - 0.5) * 350 as lon", "(rand(2) - 0.5) * 178 as lat")
+    cells = lambda cell: gridjoin.covered_cells(places, cell, "lon", "lat", "lon", "lat", 6.0).count() / 4000
+    assert 8.9 < cells(6.0) < 9.1 and cells(24.0) < 2.4
+
+
 def test_folders_by_the_longest_alias(spark):
     aliases = spark.createDataFrame([("cctv", "camera"), ("cctv cable", "cable"), ("fo", "fiber"), ("", "none"), ("pole", "b"), ("pole", "a")], "alias string, category string")
     names = {"1": "north cctv cable", "2": "fo", "3": "fo north", "4": "the pole", "5": "flagpole", "6": ""}
